@@ -58,15 +58,15 @@ pairs AS (SELECT root_vid, unnest(string_split(anc[2:-2], ','))::BIGINT vid, vid
 )
 SQL = {
     "p2_found": f"""WITH RECURSIVE {_VERTICES},
-w AS (SELECT vid start, pvid at, 1 n FROM e WHERE pvid IS NOT NULL UNION ALL SELECT w.start, e.pvid, n + 1 FROM w JOIN e ON e.vid = w.at WHERE e.pvid IS NOT NULL AND n < 400),
-far AS (SELECT start, at FROM w WHERE n = 400),
-c AS (SELECT start, at, at least, 1 n FROM far UNION ALL SELECT c.start, e.pvid, least(c.least, e.pvid), n + 1 FROM c JOIN e ON e.vid = c.at WHERE n < 400)
+w AS (SELECT vid start, pvid cur, 1 n FROM e WHERE pvid IS NOT NULL UNION ALL SELECT w.start, e.pvid, n + 1 FROM w JOIN e ON e.vid = w.cur WHERE e.pvid IS NOT NULL AND n < 400),
+far AS (SELECT start, cur FROM w WHERE n = 400),
+c AS (SELECT start, cur, cur least, 1 n FROM far UNION ALL SELECT c.start, e.pvid, least(c.least, e.pvid), n + 1 FROM c JOIN e ON e.vid = c.cur WHERE n < 400)
 SELECT r.node_id, c.least::BIGINT cycle_id FROM c JOIN e ON e.vid = c.start JOIN r ON r.v = e.v AND r.l = e.l AND r.sym = e.sym WHERE c.n = 400""",
     "p2_tree": f"""WITH RECURSIVE {_DOWN},
 n AS (SELECT vid, count(*) - 1 n_descendants FROM pairs GROUP BY vid),
 o AS (SELECT t.*, n_descendants, row_number() OVER (PARTITION BY root_vid ORDER BY ord) - 1 lft FROM t JOIN n USING (vid)),
-w AS (SELECT vid start, pvid at, 1 n FROM e WHERE pvid IS NOT NULL UNION ALL SELECT w.start, e.pvid, n + 1 FROM w JOIN e ON e.vid = w.at WHERE e.pvid IS NOT NULL AND n < 400),
-c AS (SELECT start, at, at least, 1 n FROM w WHERE n = 400 UNION ALL SELECT c.start, e.pvid, least(c.least, e.pvid), n + 1 FROM c JOIN e ON e.vid = c.at WHERE n < 400),
+w AS (SELECT vid start, pvid cur, 1 n FROM e WHERE pvid IS NOT NULL UNION ALL SELECT w.start, e.pvid, n + 1 FROM w JOIN e ON e.vid = w.cur WHERE e.pvid IS NOT NULL AND n < 400),
+c AS (SELECT start, cur, cur least, 1 n FROM w WHERE n = 400 UNION ALL SELECT c.start, e.pvid, least(c.least, e.pvid), n + 1 FROM c JOIN e ON e.vid = c.cur WHERE n < 400),
 ends AS (SELECT start vid, least FROM c WHERE n = 400)
 SELECT r.node_id, e.vid, ends.least::BIGINT cycle_id, o.root_vid, o.root, o.depth::BIGINT "depth", o.path, o.lft::BIGINT lft, (o.lft + o.n_descendants)::BIGINT rgt, o.n_descendants::BIGINT n_descendants
 FROM r JOIN e ON r.v = e.v AND r.l = e.l AND r.sym = e.sym LEFT JOIN o ON o.vid = e.vid LEFT JOIN ends ON ends.vid = e.vid""",
