@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import lookalikes
+from treeline.llm import garbled, lookalikes
 from treeline.session import table
 
 
@@ -27,5 +27,14 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.unionByName(lookalikes.consistent(_abstracts(spark, sf_dir)).select(F.lit("eval_cases").alias("src"), "id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.restore(table(spark, sf_dir, "eval_cases"), "row_id", ["title", "abstract"]).select("row_id", "field")
+
+
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled values with what could be restored."""
+    return garbled.restore(table(spark, sf_dir, "eval_cases"), "row_id", ["title", "abstract"])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p4_found, p4_texts)}
 SQL: dict[str, str] = {}
