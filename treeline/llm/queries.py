@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import garbled, lookalikes
+from treeline.llm import garbled, lookalikes, neighbours
 from treeline.session import table
 
 
@@ -36,5 +36,13 @@ def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "eval_cases"), "row_id", ["title", "abstract"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p4_found, p4_texts)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "ipc_index"), "vec_id", "vectors")
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "ipc_index"), "vec_id", "vectors")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours)}
 SQL: dict[str, str] = {}
