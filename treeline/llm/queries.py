@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import garbled, lookalikes, neighbours
+from treeline.llm import garbled, lookalikes, neighbours, packing, tokens
 from treeline.session import table
 
 
@@ -44,5 +44,26 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(table(spark, sf_dir, "ipc_index"), "vec_id", "vectors")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours)}
-SQL: dict[str, str] = {}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.places(table(spark, sf_dir, "documents"))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return tokens.decode(tokens.encode(table(spark, sf_dir, "documents")))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tokens.sizes(table(spark, sf_dir, "documents")))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(packing.pack(tokens.sizes(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours, p6_ids, p6_places, p6_decoded, p7_packed, p7_fill)}
+SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
