@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import garbled, lookalikes, neighbours, packing, tokens
+from treeline.llm import garbled, lookalikes, neighbours, packing, reading, tokens
 from treeline.session import table
 
 
@@ -65,5 +65,21 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(packing.pack(tokens.sizes(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours, p6_ids, p6_places, p6_decoded, p7_packed, p7_fill)}
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select("doc_id", "level")
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by language and level."""
+    d = _levels(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return d.groupBy("lang", "level").agg(F.count("*").alias("docs"), F.avg("difficulty").alias("difficulty"), F.avg("sentences").alias("sentences"))
+
+
+QUERIES = {f.__name__: f for f in 
+    p1_found, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours, p6_ids, p6_places, p6_decoded, p7_packed, p7_fill, p8_found, p8_profile,
+)}
 SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
