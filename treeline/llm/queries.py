@@ -79,7 +79,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang", "level").agg(F.count("*").alias("docs"), F.avg("difficulty").alias("difficulty"), F.avg("sentences").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in 
+QUERIES = {f.__name__: f for f in (
     p1_found, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours, p6_ids, p6_places, p6_decoded, p7_packed, p7_fill, p8_found, p8_profile,
 )}
 SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
