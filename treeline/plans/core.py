@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from treeline.plans import records_and_trees
+from treeline.plans import records_and_trees, trees
 
-FLAGSHIP = "p2_tree"
-QUERIES = records_and_trees.QUERIES
-SQL = records_and_trees.SQL
+FLAGSHIP = "search_default"
+QUERIES = records_and_trees.QUERIES | trees.QUERIES
+SQL = records_and_trees.SQL | trees.SQL
