@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from treeline.operators import embed
 
-KEY = ["lang", "symbol"]
+#: An entry of an edition; of an earlier edition, ``version`` is that of the edition it is compared with.
+KEY = ["version", "lang", "symbol"]
 
 
 def diff(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(lang, symbol, status): reused, changed, added or removed, by symbol and text hash; both sides have unique keys."""
+    """(version, lang, symbol, status): reused, changed, added or removed, by symbol and text hash; both sides have unique keys."""
     a = new.select(*KEY, F.col("text_hash").alias("a"))
     b = old.select(*KEY, F.col("text_hash").alias("b"))
     status = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") == F.col("b"), "reused").otherwise("changed")
@@ -24,16 +25,16 @@ def removed(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def report(d: DataFrame) -> DataFrame:
-    """One row a language: entries of the new edition, how many vectors are reused and computed, and what changed."""
+    """One row an edition: entries of the new edition, how many vectors are reused and computed, and what changed."""
     n = {s: F.count_if(F.col("status") == s) for s in ("reused", "added", "changed", "removed")}
-    return d.groupBy("lang").agg(
+    return d.groupBy("version", "lang").agg(
         (n["reused"] + n["added"] + n["changed"]).alias("total"), n["reused"].alias("reused"), (n["added"] + n["changed"]).alias("computed"),
         n["added"].alias("added"), n["changed"].alias("changed"), n["removed"].alias("removed"),
     )
 
 
 def reuse(new: DataFrame, old: DataFrame) -> DataFrame:
-    """``new`` (lang, symbol, text_hash) with the earlier vector of the same symbol and text, NULL where it must be computed."""
+    """``new`` (version, lang, symbol, text_hash) with the earlier vector of the same symbol and text, NULL where it must be computed."""
     return new.join(old.select(*KEY, "text_hash", "vector"), [*KEY, "text_hash"], "left")
 
 
@@ -44,9 +45,9 @@ def check_model(new: tuple[str, int, str], old: tuple[str, int, str]) -> None:
 
 
 def build(texts: DataFrame, old: DataFrame | None, spec: str) -> DataFrame:
-    """(lang, symbol, text_hash, vector): earlier vectors where symbol and text are the same, computed ones elsewhere.
+    """(version, lang, symbol, text_hash, vector): earlier vectors where symbol and text are the same, computed ones elsewhere.
 
-    ``texts`` has lang, symbol, text, text_hash. Only what is missing goes through the embedder.
+    ``texts`` has version, lang, symbol, text, text_hash. Only what is missing goes through the embedder.
     """
     if old is None:
         old = texts.select(*KEY, "text_hash", F.lit(None).cast("array<double>").alias("vector")).limit(0)
@@ -70,6 +71,15 @@ def previous_edition(editions: DataFrame) -> DataFrame:
     return pairs.groupBy("version", "lang", "model").agg(F.max("older").alias("previous"))
 
 
+def against_previous(index: DataFrame, editions: DataFrame) -> DataFrame:
+    """The index's rows under the version of the next edition of their language and model, which they are earlier rows of.
+
+    Both sides join on the edition, of which there are few; rows without a later edition go.
+    """
+    later = previous_edition(editions).where("previous is not null").select(F.col("version").alias("_next"), "lang", F.col("previous").alias("version"))
+    return index.join(F.broadcast(later), ["version", "lang"]).withColumn("version", F.col("_next")).drop("_next")
+
+
 def mismatches(index: DataFrame, scheme: DataFrame) -> DataFrame:
     """Rows where an index and its scheme (both pos, symbol) disagree; an index that fits has none."""
     a, b = index.select("pos", F.col("symbol").alias("index_symbol")), scheme.select("pos", F.col("symbol").alias("scheme_symbol"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from treeline.plans import records_and_trees, trees
+from treeline.plans import records_and_trees, schemes, trees
 
 FLAGSHIP = "search_default"
-QUERIES = records_and_trees.QUERIES | trees.QUERIES
-SQL = records_and_trees.SQL | trees.SQL
+QUERIES = records_and_trees.QUERIES | trees.QUERIES | schemes.QUERIES
+SQL = records_and_trees.SQL | trees.SQL | schemes.SQL
