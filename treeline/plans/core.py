@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from treeline.plans import records_and_trees, schemes, trees
+from treeline.plans import records_and_trees, schemes, texts, trees
 
 FLAGSHIP = "search_default"
-QUERIES = records_and_trees.QUERIES | trees.QUERIES | schemes.QUERIES
-SQL = records_and_trees.SQL | trees.SQL | schemes.SQL
+QUERIES = records_and_trees.QUERIES | trees.QUERIES | schemes.QUERIES | texts.QUERIES
+SQL = records_and_trees.SQL | trees.SQL | schemes.SQL | texts.SQL
