@@ -16,6 +16,10 @@ def _levels(level: str) -> tuple[str, ...]:
     return LEVELS[: LEVELS.index(level) + 1]
 
 
+def _cut_to(level: str):
+    return lambda s: symbols.truncate(s, level)
+
+
 def distinct_ranks(predictions: DataFrame, level: str) -> DataFrame:
     """(case_id, level, symbol, rank): predictions (case_id, rank, symbol) cut to each level down to ``level``; ranks count distinct symbols in order of appearance."""
     each = reduce(
@@ -35,7 +39,7 @@ def outcomes(cases: DataFrame, predictions: DataFrame, level: str = "subgroup",
     got = distinct_ranks(predictions.where(F.col("rank") <= top_k), level)
     gold = reduce(
         DataFrame.unionByName,
-        [cases.select("case_id", F.lit(lv).alias("level"), F.transform("ipc", lambda s, lv=lv: symbols.truncate(s, lv)).alias("gold"), symbols.truncate(F.try_element_at("ipc", F.lit(1)), lv).alias("main")) for lv in _levels(level)],
+        [cases.select("case_id", F.lit(lv).alias("level"), F.transform("ipc", _cut_to(lv)).alias("gold"), symbols.truncate(F.try_element_at("ipc", F.lit(1)), lv).alias("main")) for lv in _levels(level)],
     )
     j = gold.join(got, ["case_id", "level"], "left")
     hit = F.when(F.array_contains("gold", F.col("symbol")), F.col("rank"))

@@ -6,7 +6,7 @@ summation decides nothing, and ties go to the smaller symbol or id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -144,9 +144,13 @@ def max_over_chunks(s: DataFrame) -> DataFrame:
     return s.groupBy("query_id", "vec_id").agg(F.max("similarity").alias("similarity"))
 
 
-def node_similarities(queries: DataFrame, entries: DataFrame, t: DataFrame) -> DataFrame:
-    """(query_id, ed, symbol, path, parent, level, similarity): all entries of all trees for each query; NULL where an entry has no vector."""
+def node_similarities(queries: DataFrame, entries: DataFrame, t: DataFrame, reduce: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query_id, ed, symbol, path, parent, level, similarity): all entries of all trees for each query; NULL where an entry has no vector.
+
+    ``reduce`` may merge the queries first, as those of a text's chunks.
+    """
     s = similarities(queries, entries.select("vec_id", "vector"))
+    s = reduce(s) if reduce else s
     known = s.join(entries.select("vec_id", "ed", "symbol"), "vec_id").drop("vec_id")
     each = known.select(*QE).distinct().join(t, "ed")
     return each.join(known, [*QE, "symbol"], "left")
@@ -252,13 +256,13 @@ def distinct_branches(r: DataFrame) -> DataFrame:
     return r.join(keep, [*QE, "rank"])
 
 
-def search(queries: DataFrame, entries: DataFrame, p: Params = Params(), supports: bool = False) -> DataFrame:
+def search(queries: DataFrame, entries: DataFrame, p: Params = Params(), supports: bool = False, reduce: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The best entries of every tree for every query: descent, cut to top_k, gap, then branches, in this order; nothing back-fills.
 
     Columns: query_id, ed, rank, symbol, level, path, similarity, score, and the supports if asked for.
     """
     t = tree(entries)
-    sc = cut(scored(node_similarities(queries, entries, t), p.weights, supports))
+    sc = cut(scored(node_similarities(queries, entries, t, reduce), p.weights, supports))
     if p.level == AUTO:
         out = ranked(auto_descend(sc, p), p.top_k, [F.col("root_rank")])
     else:
