@@ -190,7 +190,8 @@ def hash_embed(rows: DataFrame, keys: list[str], text: str, dim: int = 64) -> Da
 
     One counter a dimension, combined before the shuffle; texts with equal keys are counted as one text.
     """
-    each = rows.select(*keys, F.explode_outer(vectors.tokens(F.col(text))).alias("token")).select(*keys, vectors.md5_bucket(F.col("token"), dim).alias("b"))
+    # Buckets are exploded, not words, so that a bucket is computed once and not for each counter.
+    each = rows.select(*keys, F.explode_outer(F.transform(vectors.tokens(F.col(text)), lambda t: vectors.md5_bucket(t, dim))).alias("b"))
     counted = each.groupBy(*keys).agg(*[F.count_if(F.col("b") == i).alias(f"n{i}") for i in range(dim)])
     return counted.select(*keys, vectors.normalize(F.array(*[F.col(f"n{i}") for i in range(dim)])).alias("vector"))
 

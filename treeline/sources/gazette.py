@@ -65,7 +65,7 @@ def records_from_xml(spark: SparkSession, path: str, dispatches: tuple[str, ...]
     d = spark.read.format("xml").option("rowTag", "despacho").option("ignoreNamespace", "true").option("attributePrefix", "_").schema(_XML_SCHEMA).load(path)
     p = F.col("processo-patente")
     text = lambda c: textnorm.clean(c["_VALUE"])
-    ipc = F.filter(F.transform(F.coalesce(p["classificacao-internacional-lista"]["classificacao-internacional"], F.array().cast("array<struct<_VALUE:string>>")), lambda x: F.trim(x["_VALUE"])), lambda s: s != "")
+    ipc = F.filter(F.transform(p["classificacao-internacional-lista"]["classificacao-internacional"], lambda x: F.trim(x["_VALUE"])), lambda s: s != "")  # NULL goes too
     out = d.where(p.isNotNull()).select(
         F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).alias("issue"), F.trim("codigo").alias("dispatch"), text(p["numero"]).alias("number"), text(p["titulo"]).alias("title"),
         text(p["resumo"]).alias("abstract"), F.coalesce(ipc, F.array().cast("array<string>")).alias("ipc"),
