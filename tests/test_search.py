@@ -88,17 +88,18 @@ def plain(nodes, vec, q, p):
 W, B = S.Weights(0.6, 0.3, 0.1), S.Beam(1, 2, 2, 3)
 
 
+@pytest.mark.parametrize("plan", ["rows", "branches"])
 @pytest.mark.parametrize(
     "p",
-    [S.Params(), S.Params(level="group", weights=W, beam=B), S.Params(top_k=20, weights=W, beam=B, gap=0.3), S.Params(level="auto", weights=W, top_k=4, margin=0.05), S.Params(level="auto", beam=B, roots=2), S.Params(level="class", beam=B, dedupe=False)],
+    [S.Params(), S.Params(level="group", weights=W, beam=B), S.Params(top_k=20, weights=W, beam=B, gap=0.3), S.Params(level="auto", weights=W, top_k=4, margin=0.05), S.Params(level="auto", beam=B, roots=2), S.Params(level="class", beam=B, dedupe=False, weights=W), S.Params(level="subclass", weights=W)],
 )
-def test_search(spark, p):
+def test_search(spark, p, plan):
     nodes, vec, queries = make(5)
     names = list(nodes)
     e = spark.createDataFrame([(i, "ed", s, list(nodes[s]), None if vec[s] is None else vec[s].tolist()) for i, s in enumerate(names)], "vec_id long, ed string, symbol string, path array<string>, vector array<double>")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)] + [(9, None), (8, [0.0] * 8)], "query_id long, vector array<double>")
     got = {}
-    for r in S.search(q, e, p).orderBy("query_id", "rank").collect():
+    for r in S.search(q, e, p, plan=plan).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.symbol, round(r.score, 6)))
     assert got == {i: plain(nodes, vec, v, p) for i, v in enumerate(queries)}
 

@@ -20,8 +20,8 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Unit length; an all-zero vector stays."""
-    n = norm(v)
-    return F.transform(doubles(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    # The norm is bound by an outer lambda, else each element would compute it again.
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.transform(doubles(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n))), F.lit(0))
 
 
 def int8_scale(v: Column) -> Column:

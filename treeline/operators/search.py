@@ -256,17 +256,28 @@ def distinct_branches(r: DataFrame) -> DataFrame:
     return r.join(keep, [*QE, "rank"])
 
 
-def search(queries: DataFrame, entries: DataFrame, p: Params = Params(), supports: bool = False, reduce: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def search(queries: DataFrame, entries: DataFrame, p: Params = Params(), supports: bool = False, reduce: Callable[[DataFrame], DataFrame] | None = None, plan: str = "auto") -> DataFrame:
     """The best entries of every tree for every query: descent, cut to top_k, gap, then branches, in this order; nothing back-fills.
 
-    Columns: query_id, ed, rank, symbol, level, path, similarity, score, and the supports if asked for.
+    Columns: query_id, ed, rank, symbol, level, path, similarity, score, and the supports if asked for. ``plan`` "branches" visits
+    packed branches where the tree allows it, "rows" keeps a row for every query and entry, which has no bound on branches and
+    is needed for supports; "auto" takes the first where it can.
     """
-    t = tree(entries)
-    sc = cut(scored(node_similarities(queries, entries, t, reduce), p.weights, supports))
-    if p.level == AUTO:
-        out = ranked(auto_descend(sc, p), p.top_k, [F.col("root_rank")])
+    t = cut(tree(entries))
+    fast = plan == "branches" or plan == "auto" and not supports and reduce is None
+    if fast:
+        from treeline.operators import branches
+
+        fast = branches.fits(t)
+    if fast:
+        found = branches.search(queries, entries, t, p)
+        if p.level == AUTO:
+            found = found.groupBy(*QE, "symbol").agg(F.min("root_rank").alias("root_rank"), F.first("similarity").alias("similarity"), F.first("score").alias("score"))
+        out = ranked(found, p.top_k, [F.col("root_rank")] if p.level == AUTO else None)
+        out = cut(out.select(*QE, "rank", "symbol", "similarity", "score")).join(t.select("ed", "symbol", "path", "level"), ["ed", "symbol"])
     else:
-        out = ranked(beam(sc, p.level, p.beam), p.top_k)
+        sc = cut(scored(node_similarities(queries, entries, t, reduce), p.weights, supports))
+        out = ranked(auto_descend(sc, p), p.top_k, [F.col("root_rank")]) if p.level == AUTO else ranked(beam(sc, p.level, p.beam), p.top_k)
     if p.gap is not None:
         out = within_gap(out, p.gap)
     if p.dedupe:

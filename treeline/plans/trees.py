@@ -71,11 +71,7 @@ def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _beam(level: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search.ranked(search.beam(cut(_scored(spark, sf_dir)), level, BEAM), 10).select("query_id", "ed", "rank", "symbol", F.round("score", 6).alias("score"))
-
-    run.__name__ = f"beam_{level}"
-    return run
+    return _search(f"beam_{level}", Params(level=level, weights=WEIGHTS, beam=BEAM, dedupe=False))
 
 
 def _search(name: str, p: Params):
