@@ -4,7 +4,7 @@ import pytest
 
 from treeline.llm import garbled as G
 
-RIGHT = ["As tubulações flexíveis – 644", "Os ímãs móveis (52 m²)", "Les réseaux à basse pression", "Die süßen Gefäße", "Los niños, la señal", "Naïve façade anchor 5", "NOTAÇÃO DE RAIZ", "SEÑAL “Ñ”", "Tree view with ├─ and └─ marks", "Square root √265", "Clavier à touches â, ê, î et ô", "pres​são da opera\xadção", "Lеѕ реtіtѕ", "5 µm 3 ± 1 °C 2 Ω", "¿modelo 4?"]
+RIGHT = ["As tubulações flexíveis – 644", "Os ímãs móveis (52 m²)", "Les réseaux à basse pression", "Die süßen Gefäße", "Los niños, la señal", "Naïve façade anchor 5", "NOTAÇÃO DE RAIZ", "SEÑAL “Ñ”", "Tree view with ├─ and └─ marks", "Square root √265", "Clavier à touches â, ê, î et ô", "pres​são da opera\xadção", "Lеѕ реtіtѕ", "5 µm 3 ± 1 °C 2 Ω", "7\xa0µm\xa0– 3\xa0Ω", "¿modelo 4?"]
 WRONG = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac-roman"), ("utf-8", "cp850"), ("utf-8", "cp437"), ("cp850", "cp1252"), ("latin-1", "mac-roman")]
 
 

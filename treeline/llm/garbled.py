@@ -46,8 +46,11 @@ def _one(b: bytes, table: str) -> str:
 
 
 def _expected() -> list[str]:
-    """Characters that texts hold: letters with marks, punctuation, signs, Greek and Cyrillic, and those without a glyph."""
-    spans = ((0xA0, 0x17F), (0x2B0, 0x2DD), (0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x45F), (0x1E9E, 0x1E9F), (0x2000, 0x206F), (0x2070, 0x209C), (0x20A0, 0x20BF), (0x2100, 0x214F), (0x2190, 0x21FF), (0x2200, 0x22FF), (0xFB00, 0xFB06), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E))
+    """Characters that texts hold: letters with marks, punctuation, signs, Greek and Cyrillic, and those without a glyph.
+
+    Not the modifier letters: read by one table they begin with a no-break space, which right texts have before signs.
+    """
+    spans = ((0xA0, 0x17F), (0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x45F), (0x1E9E, 0x1E9F), (0x2000, 0x206F), (0x2070, 0x209C), (0x20A0, 0x20BF), (0x2100, 0x214F), (0x2190, 0x21FF), (0x2200, 0x22FF), (0xFB00, 0xFB06), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E))
     return [chr(c) for a, b in spans for c in range(a, b + 1) if unicodedata.category(chr(c)) != "Cn"]
 
 
