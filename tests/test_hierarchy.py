@@ -2,11 +2,19 @@
 
 import random
 
+import pytest
+
 from treeline.operators import hierarchy
 
 SCHEMA = "node_id long, version string, lang string, pos long, symbol string, parent string, extra string"
 
 
+@pytest.fixture(autouse=True, params=[0, 100_000])
+def local(request, monkeypatch):
+    """Both by rounds to the end and by one task."""
+    monkeypatch.setattr(hierarchy, "LOCAL", request.param)
+
+
 def brute(rows):
     """node_id -> (root, depth, path, cycle_id) by walking."""
     first = {}

@@ -36,14 +36,14 @@ def is_shouting(c: Column, threshold: float = 0.6) -> Column:
     return (letters > 0) & (F.length(F.regexp_replace(c, r"\P{Lu}", "")) / letters > threshold)
 
 
-def calm(c: Column, threshold: float = 0.6) -> Column:
+def calm(c: Column) -> Column:
     """A shouting text in small letters, any other as it is."""
-    return F.when(is_shouting(c, threshold), F.lower(c)).otherwise(c)
+    return F.when(is_shouting(c), F.lower(c)).otherwise(c)
 
 
 def normalize_query(c: Column) -> Column:
     """What is embedded of a query: each paragraph collapsed, and calmed on its own."""
-    return F.array_join(F.transform(paragraphs(c), lambda p: calm(squeeze(p))), "\n\n")
+    return F.array_join(F.transform(F.transform(paragraphs(c), squeeze), calm), "\n\n")
 
 
 def clean_title(html: Column, kind: Column) -> Column:

@@ -6,6 +6,7 @@ are carried downward along the paths by pointer doubling. What the peeling never
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +15,8 @@ from treeline.functions import symbols
 from treeline.session import cut
 
 NONE = "\x00"
+#: The most vertices that one task peels to the end.
+LOCAL = 100_000
 
 
 def _canonical(c: Column) -> Column:
@@ -42,28 +45,58 @@ def vertices(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, edges
 
 
+def _finish(t: pa.Table) -> pa.Table:
+    """The rest of the peeling, of at most LOCAL vertices: (vid, pvid, size, closed)."""
+    vid, pvid = t.column("vid").to_pylist(), t.column("pvid").to_pylist()
+    size = dict(zip(vid, t.column("size").to_pylist()))
+    up = dict(zip(vid, pvid))
+    kids: dict[int, int] = dict.fromkeys(vid, 0)
+    for p in pvid:
+        if p is not None:
+            kids[p] += 1
+    ready = [v for v in vid if not kids[v]]
+    while ready:
+        v = ready.pop()
+        kids[v] = -1
+        p = up[v]
+        if p is not None:
+            size[p] += size[v]
+            kids[p] -= 1
+            if not kids[p]:
+                ready.append(p)
+    return pa.table({"vid": t.column("vid"), "pvid": t.column("pvid"), "size": pa.array([size[v] for v in vid], pa.int64()), "closed": pa.array([kids[v] > 0 for v in vid])})
+
+
 def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sizes, cycles): subtree sizes, summed upward leaf by leaf, and the vertices that are never peeled, which lie on closed chains.
 
-    Each round touches only what is left, so that all rounds together cost about as much as the first few.
+    Each round touches only what is left, so that all rounds together cost about as much as the first few. Once at most LOCAL
+    vertices are left, one task peels them to the end, so that long thin chains need no round for each step.
     """
     left = edges.select("vid", "pvid", F.lit(1).cast("long").alias("size"))
+    n_left = edges.count()
     done: list[DataFrame] = []
-    while True:
+    while n_left > LOCAL:
         inner = left.where("pvid is not null").groupBy(F.col("pvid").alias("vid")).agg(F.lit(1).alias("inner"))
         marked = cut(left.join(inner, "vid", "left"))
         leaves = marked.where("inner is null").select("vid", "size", "pvid")
         rest = marked.where("inner is not null").select("vid", "pvid", "size")
-        n_leaves, n_rest = marked.agg(F.count_if(F.col("inner").isNull()), F.count_if(F.col("inner").isNotNull())).first()
+        n_rest = rest.count()
         done.append(leaves.select("vid", "size"))
-        if not n_leaves or not n_rest:
-            break
         given = leaves.where("pvid is not null").groupBy(F.col("pvid").alias("vid")).agg(F.sum("size").alias("more"))
         left = rest.join(given, "vid", "left").select("vid", "pvid", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
-    sizes = done[0]
-    for d in done[1:]:
-        sizes = sizes.unionAll(d)
-    return sizes, rest.select("vid", "pvid")
+        if n_rest == n_left:
+            return _union([*done, edges.select("vid", F.lit(1).cast("long").alias("size")).limit(0)]), rest.select("vid", "pvid")
+        n_left = n_rest
+    last = cut(left.groupBy(F.lit(0).alias("one")).applyInArrow(_finish, "vid long, pvid long, size long, closed boolean"))
+    return _union([*done, last.where("not closed").select("vid", "size")]), last.where("closed").select("vid", "pvid")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
 
 
 def name_cycles(cycles: DataFrame) -> DataFrame:

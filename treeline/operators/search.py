@@ -114,8 +114,12 @@ def similarities(queries: DataFrame, rows: DataFrame, top: int | None = None, le
             for qi, qv, ri, rv, dim in zip(*(b.column(i).to_pylist() for i in range(5))):
                 qids, rids = np.frombuffer(qi, "<i8"), np.frombuffer(ri, "<i8")
                 s = np.frombuffer(qv, "<f8").reshape(-1, dim) @ np.frombuffer(rv, "<f8").reshape(-1, dim).T
-                i, j = np.divmod(np.arange(s.size), len(rids))
-                sim = s.ravel()
+                floor = -2.0 if least is None else least - 1e-9
+                if top is not None and len(rids) > top + 1:
+                    # The query itself may be among the rows, hence one more.
+                    floor = np.maximum(floor, np.partition(s, -(top + 1), axis=1)[:, -(top + 1), None] - 1e-9)
+                i, j = np.nonzero(s >= floor)
+                sim = s[i, j]
                 if least is not None:
                     keep = np.round(sim, 9) >= least
                     i, j, sim = i[keep], j[keep], sim[keep]
