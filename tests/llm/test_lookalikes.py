@@ -33,6 +33,16 @@ def test_consistent(spark):
     assert got[3].text == "other" and got[4].text is None and got[5].text == "X" and len(got) == 6
 
 
+def test_consistent_by_classes(spark):
+    """One text a class, over all rows, and the rough number is the same inside a class."""
+    more = [("a\U000e0101b", "ab"), ("한", "\u1112\u1161\u11ab"), ("ǖ", "u\u0308\u0304"), ("が", "か\u3099"), ("\u1e9b\u0323", "\u017f\u0323\u0307")]
+    rows = frame(spark, SAME + more + OTHER, "c")
+    got = {r.id: r.text for r in L.consistent(rows).collect()}
+    n = len(SAME + more)
+    assert [i for i in range(n) if got[2 * i] != got[2 * i + 1]] == []
+    assert [p for i, p in enumerate(OTHER, n) if got[2 * i] == got[2 * i + 1]] == []
+
+
 @pytest.mark.parametrize("n", [400])
 def test_hot_key(spark, n):
     rows = spark.createDataFrame([("hot", i, "same text" if i else "same\xa0text") for i in range(n)], "key string, id long, text string")

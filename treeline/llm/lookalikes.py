@@ -49,6 +49,27 @@ def _build() -> tuple[str, str, list[tuple[str, str]]]:
 _FROM, _TO, _JOINED = _build()
 
 
+def _coarse() -> tuple[str, str]:
+    """(characters, what they become), by rule: composed letters their bases, then, with nothing left of them, marks, characters without a glyph and Hangul."""
+    base, gone = {}, []
+    for code in [*range(0x7F, 0xD800), *range(0xE000, 0x1F000), *range(0xE0000, 0xE01F0)]:
+        c = chr(code)
+        first = unicodedata.normalize("NFD", c)[0]
+        if unicodedata.category(c) in ("Mn", "Me", "Mc", "Cf", "Cc") or unicodedata.category(c) == "Cn" and (code < 0x10000 or code >= 0xE0000) or 0x1100 <= code < 0x1200 or 0xAC00 <= code < 0xD7B0:
+            gone.append(c)
+        elif first != c:
+            base[c] = first
+    return "".join(base) + "".join(gone), "".join(base.values())
+
+
+_FINE, _ROUGH = _coarse()
+
+
+def rough(c: Column) -> Column:
+    """A number that texts of one look share, and few others do: sorting by it first spares most comparisons under the collation."""
+    return F.xxhash64(F.translate(c, _FINE, _ROUGH))
+
+
 def mapped(c: Column) -> Column:
     """The text with every look-alike replaced; NULL for NULL."""
     c = F.translate(c, _FROM, _TO)
@@ -105,11 +126,11 @@ def consistent(rows: DataFrame) -> DataFrame:
 
     ``member`` is the canonical member, as it stands, and ``text`` the same with look-alikes mapped and marks composed.
     """
-    m = rows.where("text is not null").select("id", "text", mapped(F.col("text")).alias("plain"))
+    m = rows.where("text is not null").select("id", "text", mapped(F.col("text")).alias("plain")).withColumn("rough", rough(F.col("plain")))
     out = rows.sparkSession.sql(
-        """WITH m AS (SELECT id, text <> plain changed, text, plain, collate(plain, 'UNICODE') look FROM {m}),
-        c AS (SELECT look, min(struct(changed, text, plain)) best FROM m GROUP BY look)
-        SELECT m.id, c.best.plain plain, c.best.text member FROM m JOIN c ON m.look = c.look""",
+        """WITH m AS (SELECT id, rough, text <> plain changed, text, plain, collate(plain, 'UNICODE') look FROM {m}),
+        c AS (SELECT rough, look, min(struct(changed, text, plain)) best FROM m GROUP BY rough, look)
+        SELECT m.id, c.best.plain plain, c.best.text member FROM m JOIN c ON m.rough = c.rough AND m.look = c.look""",
         m=m,
     ).select("id", _compose("plain").alias("text"), "member")
     return out.unionByName(rows.where("text is null").select("id", "text", F.col("text").alias("member")))
