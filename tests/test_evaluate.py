@@ -16,6 +16,7 @@ def test_outcomes_by_hand(spark):
     assert o[2, "section"] == (None, None) and o[3, "section"] == (None, None) and len(o) == 15
     r = {x.level: x for x in evaluate.rows(evaluate.outcomes(cases, preds)).collect()}
     assert r["section"].n == 3 and r["section"].mrr == pytest.approx(0.5 / 3) and r["section"].hit_1 == 0 and r["section"].hit_3 == pytest.approx(1 / 3)
+    assert evaluate.table(evaluate.rows(evaluate.outcomes(cases, preds))).split("\n")[1].split()[:3] == ["section", "0.0%", "33.3%"]
     m = {x.case_id: x for x in evaluate.misses(cases, preds, evaluate.outcomes(cases, preds), "subgroup").collect()}
     assert set(m) == {2, 3} and m[2].predicted == "C01" and m[3].gold == ""
 

@@ -28,6 +28,10 @@ def test_try_normalize(spark, raw, canonical):
     assert one(spark, raw, symbols.try_normalize) == canonical
 
 
+def test_labels(spark):
+    assert [one(spark, x, symbols.label) for x in ("A", "A01", "A01B", "A01B0003000000", "A01B0003141500")] == ["A", "01", "B", "3", "/1415"]
+
+
 def test_normalize_stops(spark):
     assert one(spark, None, symbols.normalize) is None
     with pytest.raises(Exception, match="not a symbol"):

@@ -185,3 +185,42 @@ def test_stream(spark, nodes, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert got and got[0].query_id == 1
+
+
+def test_archive(tmp_path):
+    import io
+    import zipfile
+
+    from treeline.sources import fetch
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a/P1.txt", "text")
+        z.writestr("a/Patente_1_x.xml", "xml")
+    calls = []
+
+    def get(url, timeout):
+        calls.append(url)
+        if len(calls) == 1:
+            raise OSError("closed")
+        return box.getvalue()
+
+    for _ in range(2):
+        got = fetch.archive("http://nowhere/P1.zip", str(tmp_path), ("Patente_1_*.xml", "P1.txt"), get=get)
+        assert [x.rsplit("/", 1)[1] for x in got] == ["Patente_1_x.xml"] and len(calls) == 2
+    with pytest.raises(FileNotFoundError):
+        fetch.archive("http://nowhere", str(tmp_path), (), (".csv",), get=get)
+    with pytest.raises(RuntimeError, match="2 attempts"):
+        fetch.download("http://nowhere", 2, get=lambda u, t: (_ for _ in ()).throw(OSError()))
+
+
+def test_service(spark, nodes, tmp_path):
+    from treeline import service
+
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    service.export(spark, str(tmp_path / "nodes"), str(tmp_path / "out"), "20260101", "EN", "hash:64")
+    h = service.Handler(spark, str(tmp_path / "out"))
+    one = h({"inputs": "ploughs", "parameters": {"level": "group", "top_k": 1, "secret": 1}})
+    assert [x["symbol"] for x in one] == ["A01B 3/00"] and "query_id" not in one[0]
+    assert [len(x) for x in h({"inputs": ["ploughs", ""]})][1] == 0
+    assert (tmp_path / "out/treeline/service.py").exists() and not (tmp_path / "out/treeline/llm").exists()

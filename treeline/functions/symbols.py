@@ -63,6 +63,18 @@ def level(c: Column) -> Column:
     )
 
 
+def label(c: Column) -> Column:
+    """What a symbol adds to its parent's: the section, the class's digits, the subclass's letter, the group's number, "/" and the rest."""
+    p = pretty(c)
+    return (
+        F.when(F.length(c) == 3, F.substring(c, 2, 2))
+        .when(F.length(c) == 4, F.substring(c, 4, 1))
+        .when(level(c) == "group", F.substring(c, 5, 4).cast("int").cast("string"))
+        .when(level(c) == "subgroup", F.concat(F.lit("/"), F.substring_index(p, "/", -1)))
+        .otherwise(c)
+    )
+
+
 def level_of_kind(c: Column) -> Column:
     """The level of an entry's kind code; digits are subgroups, other codes have none."""
     out = F.when(c.rlike(r"^\p{Nd}+$"), "subgroup")

@@ -65,6 +65,14 @@ def rows(out: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), top_k: int = 10) -
     return out.groupBy("level").agg(F.count("*").alias("n"), *rate, main, F.avg(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))).alias("mrr"))
 
 
+def table(r: DataFrame) -> str:
+    """``rows`` as text, from the section down; there are at most five of them."""
+    got = sorted(r.collect(), key=lambda x: LEVELS.index(x.level))
+    names = [c for c in r.columns if c not in ("level", "n", "mrr")]
+    lines = [f"{'level':<10}" + "".join(f"{c.replace('_', '@'):>9}" for c in names) + f"{'mrr':>8}"]
+    return "\n".join([*lines, *(f"{x.level:<10}" + "".join(f"{x[c]:>9.1%}" for c in names) + f"{x.mrr:>8.3f}" for x in got)])
+
+
 def misses(cases: DataFrame, predictions: DataFrame, out: DataFrame, level: str, top_k: int = 10) -> DataFrame:
     """(case_id, gold, predicted) of the cases without a hit at ``level``: distinct gold symbols in order, and the first five predictions."""
     lost = out.where((F.col("level") == level) & F.col("first_hit").isNull()).select("case_id")
