@@ -82,4 +82,11 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours, p6_ids, p6_places, p6_decoded, p7_packed, p7_fill, p8_found, p8_profile,
 )}
-SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+SQL = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    # By comparing all pairs, which only a small table allows.
+    "p5_found": """WITH u AS (SELECT vec_id, vectors::DOUBLE[] v, sqrt(list_inner_product(vectors::DOUBLE[], vectors::DOUBLE[])) n FROM ipc_index WHERE vectors IS NOT NULL),
+s AS (SELECT a.vec_id a, b.vec_id b, list_inner_product(a.v, b.v) / (a.n * b.n) c FROM u a JOIN u b ON a.n > 0 AND b.n > 0 AND a.vec_id <> b.vec_id),
+t AS (SELECT * FROM s WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM t""",
+}

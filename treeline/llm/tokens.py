@@ -174,6 +174,8 @@ def decode(ids: DataFrame, id_col: str = "doc_id", path: str | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([e.decode(x or []) for x in part.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
     return ids.select(F.col(id_col).cast("long"), "ids").mapInArrow(run, f"{id_col} long, text string")
