@@ -72,3 +72,15 @@ SELECT r.node_id, e.vid, ends.least::BIGINT cycle_id, o.root_vid, o.root, o.dept
 FROM r JOIN e ON r.v = e.v AND r.l = e.l AND r.sym = e.sym LEFT JOIN o ON o.vid = e.vid LEFT JOIN ends ON ends.vid = e.vid""",
     "p2_descendants": f"WITH RECURSIVE {_DOWN} SELECT root_vid, vid, descendant_vid FROM pairs WHERE vid <> descendant_vid",
 }
+
+# The format of the lines by patterns: whole fields, their number, then their values.
+_FIELD = r"""'(?:"(?:[^"]|"")*"|[^"' || sep || ']*)'"""
+_BLANK = r"[\s\x1c-\x1f\x{85}\p{Z}]*"
+SQL["p3_found"] = rf"""WITH l AS (SELECT line_id, coalesce(sep, ';') sep, CASE WHEN ends_with(line, chr(13)) THEN line[:-2] ELSE line END t FROM raw_cases),
+k AS (SELECT *, {_FIELD} f FROM l WHERE t IS NOT NULL AND NOT regexp_full_match(t, '{_BLANK}')),
+q AS (SELECT *, regexp_full_match(t, f || '(?:[' || sep || ']' || f || ')*') fine FROM k),
+v AS (SELECT line_id, fine, list_transform(CASE WHEN fine THEN regexp_extract_all(sep || t, '[' || sep || ']' || f) ELSE [] END, lambda x: CASE WHEN starts_with(x[2:], '"') THEN replace(x[3:-2], '""', '"') ELSE x[2:] END) c FROM q),
+w AS (SELECT *, regexp_full_match(c[3], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_strptime(c[3], '%Y-%m-%d') IS NOT NULL day_ok,
+ len(list_filter(string_split(c[4], '|'), lambda s: NOT regexp_full_match(upper(s), '{_BLANK}([A-H](\d\d([A-Z](\d{{10}})?)?)?|[A-H]\d\d[A-Z]{_BLANK}\d{{1,4}}/\d{{2,6}}){_BLANK}'))) = 0 ipc_ok,
+ (NOT regexp_full_match(c[6], '{_BLANK}')) = list_contains(string_split(c[8], '|'), 'abstract') AND NOT regexp_matches(c[6], '[\x{{FFFD}}\x00-\x08\x0b-\x1f\x7f]') text_ok FROM v)
+SELECT line_id, CASE WHEN NOT fine THEN 'quoting' WHEN len(c) <> 8 THEN 'columns' ELSE 'value' END AS reason FROM w WHERE NOT fine OR len(c) <> 8 OR NOT (day_ok AND ipc_ok AND text_ok)"""
