@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.session import cut
+
 # Letters of other scripts that are drawn like a Latin letter, by that letter.
 ALIKE = {
     "A": "АΑᎪ", "B": "ВΒ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫͿ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ",
@@ -107,7 +109,8 @@ def same_look_pairs(rows: DataFrame) -> DataFrame:
 
     ``rows`` has key, id, text. Rows without key or text are in no pair; an empty text looks like one of characters without a glyph.
     """
-    m = classes(repeated(rows)).select("key", "class", "id", "h")
+    # Only hashes and ids are kept, so that the texts are read and compared once.
+    m = cut(classes(repeated(rows)).select("key", "class", "id", "h"))
     many = m.groupBy("key", "class").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key", "class")
     m = m.join(many, ["key", "class"], "left_semi")
     a = m.select("key", "class", F.col("id").alias("key_a"), F.col("h").alias("ha"))
