@@ -132,7 +132,8 @@ def similarities(queries: DataFrame, rows: DataFrame, top: int | None = None, le
                     i, j, sim = i[keep], j[keep], sim[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(rids[j]), pa.array(sim)], names=["query_id", "vec_id", "similarity"])
 
-    pairs = r.crossJoin(q.withColumnRenamed("dim", "qdim")).where("dim = qdim").select("qids", "qvectors", "ids", "vectors", "dim")
+    # Written so that it is no join key: all blocks have one dimension, and a key would bring them all to one task.
+    pairs = r.crossJoin(q.withColumnRenamed("dim", "qdim")).where("dim - qdim = 0").select("qids", "qvectors", "ids", "vectors", "dim")
     return pairs.mapInArrow(run, "query_id long, vec_id long, similarity double")
 
 
