@@ -51,3 +51,14 @@ def test_table(spark):
     got = sorted((r.row_id, r.field, r.restored) for r in G.restore(d, "row_id", ["title", "abstract"]).collect())
     assert got == [(100, "abstract", "tubulações"), (100, "title", "tubulações"), (100, "title", "tubulações")]
     assert G.restore(d.limit(0), "row_id", ["title", "abstract"]).count() == 0
+
+
+def test_c1_controls(counts):
+    """A Windows-1252 text read as Latin-1 is damaged only where cp1252 has signs; what keeps a C1 control is reported at least."""
+    r = G.Restorer(counts)
+    for t in ["Die “süßen” Gefäße – 5", "a “valve”", "l’eau, l’huile", "5 – 7", "the ‘inner’ wall…", "• 20 €", "As tubulações flexíveis – “644”"]:
+        bad = G._read(t.encode("cp1252"), "latin-1")
+        assert bad != t and r.text(bad) == (True, t), bad
+    for bad in ["x\x81y", "5 \x8d 7", "\x90"]:
+        assert r.text(bad) == (True, bad)
+    assert G.Restorer({}).text("q\x92eau \x93valve\x94") == (True, "q’eau “valve”")

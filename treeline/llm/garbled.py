@@ -3,7 +3,8 @@
 The garbled sequences of all pairs of encodings are computed beforehand. Sequences of several characters (UTF-8 read as
 something else, once or twice, also lower-cased afterwards) go into an Aho-Corasick automaton and are replaced where they
 match. A single wrong character (one byte table read as another) can also be meant, so a word's reading under each pair of
-tables is held against counts of letter contexts over the whole corpus, whose number is bounded by the alphabet.
+tables is held against counts of letter contexts over the whole corpus, whose number is bounded by the alphabet. C1 controls
+are never meant: a value that holds one is garbled, whether or not a reading is found.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ LOST = "�"
 RATIO = 4
 _ODD = re.compile(r"[^\x00-\x7f]")
 _WORD = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
+_C1 = re.compile(r"[\x80-\x9f]")
+# Where signs of cp1252 stand in a word: opening ones at its start, closing ones at its end, an apostrophe between letters, dashes and dots, prices and rates.
+_PLACED = re.compile(r"(?<![^\W_])[“‘„‚‹](?=\w)|(?<=[\w.,;:!?)\]%…])[”’›](?!\w)|(?<=[^\W\d_])’(?=[^\W\d_])|(?<![^\W\d_])[–—](?![^\W\d_])|(?<=\w)…(?!\w)|(?<!\S)[•…](?!\S)|(?<=\w)™(?!\w)|(?<=\d)[€‰](?!\w)|(?<!\w)€(?=\d)|(?<!\S)[€‰](?!\S)")
 
 
 def _read(data: bytes, table: str) -> str | None:
@@ -97,7 +101,8 @@ def _letters() -> tuple[dict[tuple[str, str], dict[int, str]], frozenset[str]]:
     seen = set()
     for a in SINGLE:
         for b in SINGLE:
-            if a != b and {a, b} != {"cp1252", "latin-1"}:
+            # Read as cp1252, Latin-1 can only lose C1 controls, which texts do not have.
+            if a != b and (a, b) != ("latin-1", "cp1252"):
                 t = {}
                 for n in range(128, 256):
                     was, now = _one(bytes([n]), a), _one(bytes([n]), b)
@@ -164,20 +169,31 @@ class Restorer:
         back, letters = _letters()
         best, least = None, 0
         if any(c in letters for c in word):
-            now = self.score(word)[0]
+            # Nothing speaks for a word with a C1 control as it stands.
+            odd = _C1.search(word) is not None
+            floor = 1 if odd else RATIO * (self.score(word)[0] + 1)
             for pair, t in back.items():
                 new = self.back(word, t)
-                if new and (n := self.score(new)[0]) >= RATIO * (now + 1) and n > least:
+                if new and (n := self.score(new)[0]) >= floor and n > least:
                     best, least = (new, pair), n
+            if odd and best is None:
+                best = self.placed(word)
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[word] = best
         return best
 
+    def placed(self, word: str) -> tuple[str, tuple[str, str]] | None:
+        """The word read as cp1252, if each of its C1 controls then is a sign where such a sign stands."""
+        pair = ("cp1252", "latin-1")
+        new = word.translate(_letters()[0][pair])
+        at = {m.start() for m in _PLACED.finditer(new)}
+        return (new, pair) if all(m.start() in at for m in _C1.finditer(word)) else None
+
     def back(self, word: str, t: dict[int, str]) -> str | None:
         """The word with its wrong characters translated back; None if that changes nothing or gives no text."""
         new = word.translate(t)
-        if any(new[i] != word[i] and not new[i].isalpha() and word[i - 1].isalpha() and word[i + 1].isalpha() for i in range(1, len(word) - 1)):
+        if any(new[i] != word[i] and not _C1.match(word[i]) and not new[i].isalpha() and word[i - 1].isalpha() and word[i + 1].isalpha() for i in range(1, len(word) - 1)):
             return None
         return None if new == word or new.isascii() or any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in new if c > "~") else new
 
@@ -203,14 +219,14 @@ class Restorer:
         if found:
             pair = Counter(p for _, p in found).most_common(1)[0][0]
             text = _WORD.sub(lambda m: self.under(m[0], pair), text)
-        return garbled or bool(found), text
+        return garbled or bool(found) or _C1.search(text) is not None, text
 
     def under(self, word: str, pair: tuple[str, str]) -> str:
         """A word of a value that was read under a pair of tables: weaker counts are enough."""
         if x := self.word(word):
             return x[0]
         new = self.back(word, _letters()[0][pair])
-        return new if new and self.score(new)[0] > self.score(word)[0] else word
+        return new if new and (_C1.search(word) or self.score(new)[0] > self.score(word)[0]) else word
 
     def likely(self, left: str, garbled: str, c: str, right: str) -> bool:
         """Whether an ambiguous sequence occurs less often than what it would stand for."""
