@@ -43,6 +43,18 @@ def test_consistent_by_classes(spark):
     assert [p for i, p in enumerate(OTHER, n) if got[2 * i] == got[2 * i + 1]] == []
 
 
+def test_ascii_controls(spark):
+    """Both queries have one class for texts that differ by controls without a glyph, and several for those that differ by blanks."""
+    same = [(f"ab{chr(c)}c", "abc") for c in [*range(9), *range(14, 32), 127]]
+    other = [(f"x{a}y", f"x{b}y") for a, b in [("\r", ""), ("\x0b", ""), ("\x0c", ""), ("\n", ""), ("\n", " ")]] + [("é\ry", "éy"), ("é\x85y", "éy"), ("q\x01\r", "q")]
+    rows = frame(spark, same + other, "c")
+    pairs = {(r.key_a, r.key_b) for r in L.same_look_pairs(rows).collect()}
+    got = {r.id: r.text for r in L.consistent(rows).collect()}
+    assert pairs == {(2 * n, 2 * n + 1) for n in range(len(same))}
+    assert {got[i] for i in range(2 * len(same))} == {"abc"}
+    assert [p for i, p in enumerate(other, len(same)) if got[2 * i] == got[2 * i + 1]] == []
+
+
 @pytest.mark.parametrize("n", [400])
 def test_hot_key(spark, n):
     rows = spark.createDataFrame([("hot", i, "same text" if i else "same\xa0text") for i in range(n)], "key string, id long, text string")

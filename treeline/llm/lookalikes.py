@@ -7,6 +7,7 @@ Values are grouped under it in SQL, each class gets a canonical member, and the
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -49,12 +50,14 @@ def _build() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 _FROM, _TO, _JOINED = _build()
+# Controls that are blanks or end lines; the collation ignores the others.
+_BLANK = "\t\n\x0b\x0c\r\x85"
 
 
 def _coarse() -> tuple[str, str]:
     """(characters, what they become), by rule: composed letters their bases, then, with nothing left of them, marks, characters without a glyph and Hangul."""
     base, gone = {}, []
-    for code in [*range(0x7F, 0xD800), *range(0xE000, 0x1F000), *range(0xE0000, 0xE01F0)]:
+    for code in [*range(0x20), *range(0x7F, 0xD800), *range(0xE000, 0x1F000), *range(0xE0000, 0xE01F0)]:
         c = chr(code)
         first = unicodedata.normalize("NFD", c)[0]
         if unicodedata.category(c) in ("Mn", "Me", "Mc", "Cf", "Cc") or unicodedata.category(c) == "Cn" and (code < 0x10000 or code >= 0xE0000) or 0x1100 <= code < 0x1200 or 0xAC00 <= code < 0xD7B0:
@@ -65,6 +68,7 @@ def _coarse() -> tuple[str, str]:
 
 
 _FINE, _ROUGH = _coarse()
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
 def rough(c: Column) -> Column:
@@ -121,7 +125,7 @@ def same_look_pairs(rows: DataFrame) -> DataFrame:
 @F.pandas_udf(T.StringType())
 def _compose(s: pd.Series) -> pd.Series:
     # What has no glyph goes, and marks join their letters.
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", "".join(c for c in t if unicodedata.category(c) not in ("Cf", "Cc") and not 0xFE00 <= ord(c) <= 0xFE0F and c != "͏" or c == "\n")))
+    return s.map(lambda t: t if t is None or t.isascii() and not _CONTROL.search(t) else unicodedata.normalize("NFC", "".join(c for c in t if unicodedata.category(c) not in ("Cf", "Cc") and not 0xFE00 <= ord(c) <= 0xFE0F and c != "͏" or c in _BLANK)))
 
 
 def consistent(rows: DataFrame) -> DataFrame:
