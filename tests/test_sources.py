@@ -95,6 +95,21 @@ def test_gazette_xml(spark, tmp_path):
     assert [(x.issue, x.dispatch, x.title, x.abstract, x.ipc) for x in r] == [("2900", "1.3", "UM título", "um resumo", ["A01B 1/02"]), ("2900", "3.1", "dois", "", ["A01B 1/02"])]
 
 
+def test_gazette_xml_elsewhere(spark, tmp_path):
+    """Abstracts under inid 57 and symbols that stand elsewhere, with attributes, marks and signs kept."""
+    one = lambda n, inner: f'<despacho><codigo>3.1</codigo><processo-patente><numero inid="21">{n}</numero><titulo inid="54">A &amp; B</titulo>{inner}</processo-patente></despacho>'
+    lists = '<outra><classificacao-internacional ano="2006"> A01B 1/02 </classificacao-internacional></outra><classificacao-internacional>A01B 1/04</classificacao-internacional>'
+    body = [
+        one(1, f'<texto><item inid="56">no</item><item inid="57"> só &lt; aqui\n &amp; ali</item></texto>{lists}'), one(2, '<resumo> </resumo><texto inid="57">dois</texto>'),
+        one(3, '<texto inid="57">outro</texto><resumo inid="57">três</resumo>'), one(4, ""),
+    ]
+    (tmp_path / "Patente_2901_x.xml").write_text(f'<revista numero="2901">{"".join(body)}</revista>', encoding="utf-8")
+    r = {x.number: x for x in gazette.records_from_xml(spark, str(tmp_path / "Patente_2901_x.xml")).collect()}
+    assert [r[n].abstract for n in "1234"] == ["só < aqui & ali", "dois", "três", ""]
+    assert r["1"].ipc == ["A01B 1/02", "A01B 1/04"] and r["2"].ipc == [] and r["1"].title == "A & B"
+    assert r["1"].issue == "2901"
+
+
 def test_cases(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "rpi1:x", "text": "t", "ipc": ["A"], "title": "t", "abstract": "a", "more": 1}\n\n{"id": "rpi1:y", "text": "u", "ipc": [], "lang": "en"}\n')
     c = {x.id: x for x in index_files.read_cases(spark, str(tmp_path / "a.jsonl")).collect()}

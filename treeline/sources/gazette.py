@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,24 +65,32 @@ def records_from_lines(lines: DataFrame, dispatches: tuple[str, ...] | None = DI
 def records_from_xml(spark: SparkSession, path: str, dispatches: tuple[str, ...] | None = DISPATCHES) -> DataFrame:
     """(issue, dispatch, number, title, abstract, ipc) of XML issues; the issue is the number in the file's name, as the files are named.
 
-    One row a ``despacho`` element; elements without an application go. Attributes of text elements are left out.
+    One row a ``despacho`` element; elements without an application go. An abstract is the text of ``resumo``, else that of the
+    first element anywhere in the application with inid 57; symbols are read wherever they stand in it.
     """
-    d = spark.read.format("xml").option("rowTag", "despacho").option("ignoreNamespace", "true").option("attributePrefix", "_").schema(_XML_SCHEMA).load(path)
-    p = F.col("processo-patente")
-    text = lambda c: textnorm.clean(c["_VALUE"])
-    ipc = F.filter(F.transform(p["classificacao-internacional-lista"]["classificacao-internacional"], lambda x: F.trim(x["_VALUE"])), lambda s: s != "")  # NULL goes too
-    out = d.where(p.isNotNull()).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).alias("issue"), F.trim("codigo").alias("dispatch"), text(p["numero"]).alias("number"), text(p["titulo"]).alias("title"),
-        text(p["resumo"]).alias("abstract"), F.coalesce(ipc, F.array().cast("array<string>")).alias("ipc"),
-    )
-    return out.where(F.col("dispatch").isin(*dispatches)) if dispatches else out
-
-
-_TEXT = "struct<_VALUE: string, _inid: string>"
-_XML_SCHEMA = (
-    f"codigo string, titulo string, `processo-patente` struct<numero: {_TEXT}, titulo: {_TEXT}, resumo: {_TEXT}, "
-    "`classificacao-internacional-lista`: struct<`classificacao-internacional`: array<struct<_VALUE: string, _sequencia: int, _ano: string>>>>"
-)
+    d = spark.read.text(path, lineSep="</despacho>").select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).alias("issue"), "value")
+    d = d.mapInArrow(_applications, "issue string, dispatch string, number string, title string, abstract string, inid57 string, ipc array<string>")
+    if dispatches:
+        d = d.where(F.col("dispatch").isin(*dispatches))
+    text = lambda c: textnorm.clean(F.col(c)).alias(c)
+    abstract = F.coalesce(F.nullif(textnorm.clean(F.col("abstract")), F.lit("")), textnorm.clean(F.col("inid57"))).alias("abstract")
+    return d.select("issue", "dispatch", text("number"), text("title"), abstract, "ipc")
+
+
+def _applications(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the XML reader gives in no form: elements at any depth, in their order, with attributes."""
+    for b in batches:
+        out = []
+        for issue, value in zip(*(c.to_pylist() for c in b.columns)):
+            start = re.search(r"<despacho[\s/>]", value)
+            root = ET.fromstring(f"<r>{value[start.start() :]}</despacho></r>" if start else "<r/>")
+            for x in root.iter():
+                x.tag = x.tag.rpartition("}")[2]
+            for d in root.iter("despacho"):
+                if (p := d.find("processo-patente")) is not None:
+                    ipc = [t for x in p.iter("classificacao-internacional") if (t := (x.text or "").strip())]
+                    out.append((issue, (d.findtext("codigo") or "").strip(), p.findtext("numero"), p.findtext("titulo"), p.findtext("resumo"), next((x.text for x in p.iterfind(".//*[@inid='57']")), None), ipc))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate([pa.string()] * 6 + [pa.list_(pa.string())])], names=["issue", "dispatch", "number", "title", "abstract", "inid57", "ipc"])
 
 
 def cases(records: DataFrame, require_abstract: bool = False) -> DataFrame:
