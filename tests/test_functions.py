@@ -95,3 +95,13 @@ def test_factories():
     with pytest.raises(ValueError, match="needs a model"):
         embed.get_embedder("st")
     assert embed.prefixes("intfloat/multilingual-e5-base") == ("query: ", "passage: ")
+
+
+def test_strip_repeated_title_long(spark, tmp_path):
+    """Titles of any length are rows and are stripped."""
+    from treeline.plans import texts
+
+    long = {n: " ".join(["ab"] * n) for n in (1, 49, 50, 51, 200, 3000, 12_345)}
+    spark.createDataFrame([(2 * n, t, "Rest of it") for n, t in long.items()], "row_id long, title string, abstract string").write.parquet(str(tmp_path / "eval_cases.parquet"))
+    got = {r.row_id: r.abstract for r in texts.strip_repeated_title(spark, str(tmp_path)).collect()}
+    assert got == {2 * n: "Rest of it" for n in long}

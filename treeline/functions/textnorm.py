@@ -71,7 +71,11 @@ def strip_repeated_title(abstract: Column, title: Column) -> Column:
     """The abstract without the title that it begins with, compared by letters and digits alone."""
     key = alnum(title)
     repeats = (F.length(key) > 0) & F.startswith(alnum(abstract), key)
-    pattern = F.concat(F.lit(r"^(?:[^\p{L}\p{N}]*[\p{L}\p{N}]){"), F.length(key).cast("string"), F.lit("}"))
+    # In hundreds of hundreds, each atomic: one count of them all would recurse once a letter and overflow the stack on a long title.
+    one = r"(?:[^\p{L}\p{N}]*+[\p{L}\p{N}])"
+    hundred = f"(?>{one}{{100}})"
+    n, times = F.length(key), lambda what, k: F.concat(F.lit(what + "{"), k.cast("int").cast("string"), F.lit("}"))
+    pattern = F.concat(F.lit("^"), times(f"(?>{hundred}{{100}})", F.floor(n / 10_000)), times(hundred, F.floor(n % 10_000 / 100)), times(one, n % 100))
     return F.when(repeats, F.regexp_replace(F.regexp_replace(abstract, pattern, F.lit("")), r"^[ .:;,\-]+", "")).otherwise(abstract)
 
 

@@ -41,7 +41,7 @@ def html_clean_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strip_repeated_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _cases(spark, sf_dir).where("title is not null and abstract is not null and length(title) < 400")
+    c = _cases(spark, sf_dir).where("title is not null and abstract is not null")
     printed = F.when(F.col("row_id") % 2 == 0, F.concat(F.regexp_replace("title", " ", "  "), F.lit(" .- "), F.col("abstract"))).otherwise(F.col("abstract"))
     return c.select("row_id", textnorm.strip_repeated_title(printed, F.col("title")).alias("abstract"))
 
