@@ -4,7 +4,7 @@ import os
 from collections import defaultdict
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from treeline.llm import packing as P
@@ -24,6 +24,27 @@ def test_same_ids_and_round_trip(text):
     assert all(0 <= a < b <= len(text) for a, b in zip(starts, ends)) and (not ids or (starts[0] == 0 and ends[-1] == len(text)))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(max_size=60) | st.none(), max_size=4))
+def test_every_vocabulary_of_the_library(texts):
+    """Whatever a vocabulary does to a text before it splits it, the ids are the library's for the whole text."""
+    for name in sorted(f for f in os.listdir(T.FOLDER) if f.endswith(".json")):
+        e = T.encoder(f"{T.FOLDER}/{name}")
+        assert e.encode_all(texts) == [e.tokenizer.encode(t, add_special_tokens=False).ids if t else [] for t in texts], name
+
+
+def test_other_vocabularies():
+    e = T.encoder(f"{T.FOLDER}/word_bpe_49k.json")
+    text = "  Two   Wörds, path=word_bpe_49k "
+    ids = e.encode(text)
+    assert not e.by_word and e.decode(ids).split() == ["two", "wörds", ",", "path", "=", "word", "_", "bpe", "_", "4", "9", "k"]
+    starts, ends = e.places(text, ids)
+    assert [text[a:b] for a, b in zip(starts, ends)][:1] == ["Two"] and len(starts) == len(ids)
+    for name in ("byte_bpe_50k.tiktoken", "piece_bpe_32k.model"):
+        with pytest.raises(ValueError, match="not a vocabulary"):
+            T.encoder(f"{T.FOLDER}/{name}")
+
+
 def test_split_characters():
     e = T.encoder(PATH)
     ids = e.encode("a\U0001f9ec𝗈z")
@@ -72,19 +93,38 @@ def test_packing(spark):
         P.pack(d, 0)
 
 
+@example([3, 18, 15, 3, 0], 2)
+@example([4, 20, 16], 1)
 @given(st.lists(st.integers(0, 40), max_size=80), st.integers(1, 5))
 def test_best_fit_by_brute_force(sizes, most_open):
-    """The same with a plain list of open containers: best fit, and the fullest closes first."""
+    """The same with a plain list of open containers: best fit, the fullest closes first, the oldest among equals in both."""
     p = P.Packer(20, most_open)
     free: dict[int, int] = {}
+    n = 0
     for s in (min(s, 20) for s in sizes):
-        fits = [f for f in free.values() if f >= s]
-        if not fits and len(free) == most_open:
-            least = min(free.values())
-            free.pop(max(c for c, f in free.items() if f == least))
-        c, at = p.put(s)
-        assert 20 - free.get(c, 20) == at and (not fits or free[c] == min(fits))
-        free[c] = 20 - at - s
-        if not free[c]:
-            free.pop(c)
-        assert len(free) <= most_open
+        fits = [(f, c) for c, f in free.items() if f >= s]
+        if s == 20:
+            want, at = n, 0
+            n += 1
+        elif fits:
+            f, want = min(fits)
+            at, free[want] = 20 - f, f - s
+        else:
+            if len(free) == most_open:
+                free.pop(min((f, c) for c, f in free.items())[1])
+            want, at, free[n] = n, 0, 20 - s
+            n += 1
+        assert p.put(s) == (want, at)
+        free = {c: f for c, f in free.items() if f}
+        assert p.open == len(free) <= most_open
+
+
+def test_repeats_are_dealt(spark):
+    """Neither empty items nor the repeats of one id meet in one packer, and the deal is the same however rows are laid out."""
+    d = spark.createDataFrame([(1, 0)] * 3000 + [(i, 0) for i in range(3000)] + [(7, 5)] * 3000, "doc_id long, n long")
+    packed = P.pack(d, 128, 16, most_items=500)
+    assert packed.count() == 9000 and packed.selectExpr("container_id >> 40 as p").groupBy("p").count().where("count > 900").count() == 0
+    assert P.faults(d, packed, 128).first().asDict() == {"items": 3000, "missing": 0, "wrong_total": 0, "overfull": 0, "gaps": 0, "split_small": 0}
+    again = P.pack(d.repartition(7, "n"), 128, 16, most_items=500)
+    assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, again.collect()))
+    assert P.faults(d, packed.where("doc_id <> 5"), 128).first().missing == 1

