@@ -62,3 +62,40 @@ def test_c1_controls(counts):
     for bad in ["x\x81y", "5 \x8d 7", "\x90"]:
         assert r.text(bad) == (True, bad)
     assert G.Restorer({}).text("q\x92eau \x93valve\x94") == (True, "q’eau “valve”")
+
+
+@pytest.mark.parametrize("read", ["cp1250", "cp1253", "cp1257", "cp866", "iso8859-2", "iso8859-7", "koi8-r", "gbk", "big5", "euc-kr", "shift_jis", "mac-cyrillic"])
+def test_utf8_read_with_any_table(read):
+    """Counts are only needed for sequences of Cyrillic letters alone; the right part of the value stays as it is."""
+    r = G.Restorer({("t", "ã", "o"): 100} if read == "koi8-r" else {})
+    for t in ("Größe 5", "então", "piézo"):
+        data = t.encode()
+        bad = G._read(data, read) if read not in G.WIDE else data.decode(read, "replace")
+        if G.LOST in bad or any(chr(128) <= c <= chr(159) for c in bad):
+            continue
+        assert bad != t and r.text(f"Ñandú, {bad}") == (True, f"Ñandú, {t}"), bad
+
+
+def test_signs_on_their_own_are_meant(counts):
+    """A lone letter or sign that another pair of tables would make a common one is only changed beside garbled words."""
+    many = dict(counts)
+    many[" ", "à", " "] = many[" ", "Ã", " "] = 10_000
+    r = G.Restorer(many)
+    for t in ["MARCA ‡ PARA RODAPÉ 3", "AS LETRAS Ã, Õ E Ç NO BLOCO", "A ‡ B"]:
+        assert r.text(t) == (False, t)
+    bad = "„ síntese".encode("cp1252", "replace").decode("cp1252")
+    assert r.text(bad)[0] is False
+    assert r.text("as tubulaÁıes à parte") == (True, "as tubulações à parte")
+
+
+@pytest.mark.parametrize(("was", "read"), WRONG)
+def test_right_parts_stay(counts, was, read):
+    """Right words of a value, and signs that are meant, stay beside garbled ones, whatever the pair."""
+    r = G.Restorer(counts)
+    for t in RIGHT[:5]:
+        try:
+            bad = G._read(t.encode(was), read)
+        except UnicodeEncodeError:
+            continue
+        for right in ("Le château, la señal", "Square root √265", "5 µm 3 ± 1 °C"):
+            assert r.text(f"{right}; {bad}")[1].startswith(right + "; "), (was, read, right, bad)

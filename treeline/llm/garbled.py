@@ -1,10 +1,11 @@
 """Texts that were decoded with a wrong character encoding.
 
-The garbled sequences of all pairs of encodings are computed beforehand. Sequences of several characters (UTF-8 read as
-something else, once or twice, also lower-cased afterwards) go into an Aho-Corasick automaton and are replaced where they
-match. A single wrong character (one byte table read as another) can also be meant, so a word's reading under each pair of
-tables is held against counts of letter contexts over the whole corpus, whose number is bounded by the alphabet. C1 controls
-are never meant: a value that holds one is garbled, whether or not a reading is found.
+The garbled sequences of all pairs of encodings are computed beforehand and matched by two Aho-Corasick automata. The first
+holds what UTF-8 looks like when read with another table (once, or twice, also lower-cased afterwards). The second holds what
+the letter contexts of the corpus (a letter with its two neighbours) look like when text in one byte table is read with
+another, where that is far rarer than the context itself. Only matched spans are replaced. A letter or sign that stands alone
+can be meant, so it only counts where a word of the same value was garbled by the same pair. C1 controls are never meant: a
+value that holds one is garbled, whether or not a reading is found.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The byte tables that texts are read with by mistake, by their names in Python.
+# The tables that texts are read with by mistake, by their names in Python, the commonest first.
 TABLES = ("cp1252", "latin-1", "mac-roman", "cp437", "cp850", "cp1251")
-# Of these, the ones that a single wrong character is looked up in; Cyrillic letters in Latin words are look-alikes more often.
-SINGLE = TABLES[:5]
+OTHERS = (*(f"cp{n}" for n in (1250, *range(1253, 1259), 866, 852, 855)), *(f"iso8859-{n}" for n in (*range(2, 11), 13, 14, 15, 16)), "koi8-r", "koi8-u", "mac-latin2", "mac-cyrillic", "mac-greek")
+#: Tables of several bytes a character.
+WIDE = ("gbk", "big5", "euc-kr", "shift_jis")
+# Tables of single bytes between which texts are misread; Cyrillic letters in Latin words are look-alikes more often.
+SINGLE = (*TABLES[:5], "cp1250", "cp1254", "cp1257", "cp852", "iso8859-2", "iso8859-9", "iso8859-15")
 LOST = "�"
 #: How much more often than a word's contexts as they stand must those of its restored form occur.
 RATIO = 4
 _ODD = re.compile(r"[^\x00-\x7f]")
 _WORD = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
+_RUN = re.compile(r"[^\x00-\x7f]{2,}|[⺀-\U0010ffff]")
 _C1 = re.compile(r"[\x80-\x9f]")
 # Where signs of cp1252 stand in a word: opening ones at its start, closing ones at its end, an apostrophe between letters, dashes and dots, prices and rates.
 _PLACED = re.compile(r"(?<![^\W_])[“‘„‚‹](?=\w)|(?<=[\w.,;:!?)\]%…])[”’›](?!\w)|(?<=[^\W\d_])’(?=[^\W\d_])|(?<![^\W\d_])[–—](?![^\W\d_])|(?<=\w)…(?!\w)|(?<!\S)[•…](?!\S)|(?<=\w)™(?!\w)|(?<=\d)[€‰](?!\w)|(?<!\w)€(?=\d)|(?<!\S)[€‰](?!\S)")
@@ -58,59 +63,79 @@ def _expected() -> list[str]:
     return [chr(c) for a, b in spans for c in range(a, b + 1) if unicodedata.category(chr(c)) != "Cn"]
 
 
+#: A garbled sequence's original, the tables that give it, and whether right texts do not hold it.
+Garbled = tuple[str, frozenset[str], bool]
+
+
 @lru_cache(maxsize=1)
-def sequences() -> dict[str, str]:
-    """Garbled sequence of two characters or more -> what it was."""
-    out: dict[str, str] = {}
-    low: dict[str, str] = {}
-
-    def add(garbled: str | None, c: str) -> None:
-        if garbled and len(garbled) > 1 and LOST not in garbled:
-            out.setdefault(garbled, c)
-            if garbled.lower() != garbled:
-                low.setdefault(garbled.lower(), c.lower() if len(c.lower()) == 1 else c)
-
-    for c in _expected():
+def sequences() -> dict[str, list[Garbled]]:
+    """Garbled sequence -> what it may have been, by the commonest table first; what only lowered sequences give stands last."""
+    out: dict[str, dict[str, tuple[set[str], bool]]] = {}
+    low: dict[str, dict[str, tuple[set[str], bool]]] = {}
+
+    def add(to: dict, garbled: str, c: str, table: str, sure: bool) -> None:
+        if len(garbled) > 1 and LOST not in garbled or table in WIDE:
+            to.setdefault(garbled, {}).setdefault(c, (set(), sure))[0].add(table)
+
+    def core(garbled: str, c: str, table: str) -> None:
+        add(out, garbled, c, table, True)
+        if garbled.lower() != garbled:
+            add(low, garbled.lower(), c.lower() if len(c.lower()) == 1 else c, table, True)
+
+    expected = _expected()
+    for c in expected:
         data = c.encode("utf-8")
         for t in TABLES:
             once = _read(data, t)
-            add(once, c)
-            if "ϐ" <= c <= "џ" or c >= "！":
-                continue
+            core(once, c, t)
             for u in TABLES[:3]:
                 twice = _read(once.encode("utf-8"), u)
-                add(twice, c)
+                core(twice, c, u)
                 if u == t and c < "ƀ":
-                    add(_read(twice.encode("utf-8"), u), c)
-    return low | out
+                    core(_read(twice.encode("utf-8"), u), c, u)
+    for c in expected:
+        for t in OTHERS:
+            g = _read(c.encode("utf-8"), t)
+            # Two letters of these tables may be a word's, as may a letter before a mark of punctuation.
+            add(out, g, c, t, not g.isalpha() and (len(g) > 2 or any(unicodedata.category(x)[0] == "S" or x in "¶§¡¿†‡•‰" for x in g)))
+        for t in WIDE:
+            for after in ("", *map(chr, range(64, 127))) if c < "ƀ" else ("",):
+                try:
+                    g = (c + after).encode("utf-8").decode(t)
+                except UnicodeDecodeError:
+                    continue
+                if not after or g[-1] != after:
+                    add(out, g, c + after, t, False)
+    for g, x in low.items():
+        out.setdefault(g, x)
+    rank = {t: i for i, t in enumerate((*TABLES, *OTHERS, *WIDE))}
+    return {g: sorted(((c, frozenset(t), sure) for c, (t, sure) in x.items()), key=lambda y: min(map(rank.get, y[1]))) for g, x in out.items()}
 
 
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for garbled, c in sequences().items():
-        a.add_word(garbled, (len(garbled), c))
+    for garbled, x in sequences().items():
+        a.add_word(garbled, (len(garbled), x))
     a.make_automaton()
     return a
 
 
 @lru_cache(maxsize=1)
-def _letters() -> tuple[dict[tuple[str, str], dict[int, str]], frozenset[str]]:
-    """For each pair (meant table, wrong table) the translation of wrong characters back; and all such characters."""
-    back: dict[tuple[str, str], dict[int, str]] = {}
-    seen = set()
-    for a in SINGLE:
-        for b in SINGLE:
-            # Read as cp1252, Latin-1 can only lose C1 controls, which texts do not have.
-            if a != b and (a, b) != ("latin-1", "cp1252"):
-                t = {}
-                for n in range(128, 256):
-                    was, now = _one(bytes([n]), a), _one(bytes([n]), b)
-                    if was != now:
-                        t[ord(now)] = was
-                back[a, b] = t
-                seen |= {chr(x) for x in t}
-    return back, frozenset(seen)
+def pairs() -> list[tuple[tuple[str, str], dict[int, str], dict[int, str]]]:
+    """For each pair (meant table, wrong table): the translation of wrong characters back, and of meant ones to wrong ones.
+
+    A pair whose translation an earlier one contains is left out; the commonest tables come first.
+    """
+    out: list[tuple[tuple[str, str], dict[int, str], dict[int, str]]] = []
+    for a, b in sorted(((a, b) for a in SINGLE for b in SINGLE if a != b), key=lambda p: max(map(SINGLE.index, p))):
+        # Read as cp1252, Latin-1 can only lose C1 controls, which texts do not have.
+        if (a, b) != ("latin-1", "cp1252"):
+            both = [(_one(bytes([n]), a), _one(bytes([n]), b)) for n in range(128, 256)]
+            back = {ord(now): was for was, now in both if was != now}
+            if not any(back.items() <= known.items() for _, known, _ in out):
+                out.append(((a, b), back, {ord(was): now for was, now in both if was != now}))
+    return out
 
 
 def _ambiguous(left: str, garbled: str, c: str) -> bool:
@@ -123,72 +148,115 @@ def _ambiguous(left: str, garbled: str, c: str) -> bool:
     return all("Ѐ" <= x <= "џ" for x in garbled)
 
 
-def spans(text: str) -> list[tuple[int, int, str]]:
-    """Longest garbled sequences of several characters, from the left: (start, end, restored)."""
-    found = [(end + 1 - n, end + 1, c) for end, (n, c) in automaton().iter(text)]
-    found.sort(key=lambda x: (x[0], -x[1]))
-    out: list[tuple[int, int, str]] = []
-    for s in found:
-        if not out or s[0] >= out[-1][1]:
-            out.append(s)
-    return out
+def _beside(left: str, right: str) -> bool:
+    """Whether a Latin letter stands directly beside."""
+    return any(x.isalpha() and x < "ɐ" for x in (left, right))
+
+
+def matches(text: str) -> list[tuple[int, int, list[Garbled]]]:
+    """All garbled sequences: (start, end, what they may have been), by their start, those of the commonest tables first, then the longest."""
+    # All their characters are beyond ASCII, and those of one character are far letters.
+    found = [(m.start() + end + 1 - n, m.start() + end + 1, x) for m in _RUN.finditer(text) for end, (n, x) in automaton().iter(m[0])]
+    found.sort(key=lambda x: (x[0], x[2][0][1].isdisjoint(TABLES), -x[1]))
+    return found
+
+
+# Above these, characters only count as letters or signs; the exceptions are in byte tables.
+_LAST, _KEPT = "☀", "ﬁﬂ"
 
 
-def _class(c: str) -> str:
-    """The context class of a neighbouring character: itself for letters below U+02B0 and ASCII signs, else one for digits, other letters, marks and all others."""
-    if c.isdigit():
-        return "0"
-    if c < "\x7f" or c.isalpha():
-        return c if c < "ʰ" else "Ж"
-    return "\u0301" if unicodedata.combining(c) else " "
+class _Key(dict):
+    """How characters are compared: digits as one, blanks and controls as one, far letters and far signs as one each."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if c.isdigit() and c not in "²³¹":
+            k = "0"
+        elif c < "!" or c.isspace() and c != "\xa0":
+            k = " "
+        elif c < _LAST or c in _KEPT or "\ue000" <= c <= "\uf8ff":
+            k = c
+        else:
+            k = "Ж" if c.isalpha() else " "
+        self[code] = k
+        return k
+
+
+_KEYS = _Key()
 
 
 def contexts(word: str) -> Iterator[tuple[str, str, str]]:
-    padded = f" {word} "
+    """(left, character, right) of the characters beyond ASCII."""
+    padded = f" {word.translate(_KEYS)} "
     for m in _ODD.finditer(padded):
         i = m.start()
-        yield _class(padded[i - 1]), padded[i], _class(padded[i + 1])
+        yield padded[i - 1], padded[i], padded[i + 1]
+
+
+def patterns(counts: dict[tuple[str, str, str], int]) -> dict[str, list[int]]:
+    """Garbled context -> the numbers of the pairs of tables under which it is a context that is RATIO times as frequent."""
+    out: dict[str, list[int]] = {}
+    for n, (_, _, garble) in enumerate(pairs()):
+        meant = {chr(x) for x in garble}
+        for (l, c, r), many in counts.items():
+            if c not in meant:
+                continue
+            g = f"{l}{c}{r}".translate(garble)
+            odd = _C1.match(g[1]) is not None
+            if many >= (1 if odd else RATIO * (counts.get((g[0], g[1], g[2]), 0) + 1)):
+                out.setdefault(g, []).append(n)
+    return out
 
 
 class Restorer:
-    """Restores words with the corpus's context counts; keeps what it has decided."""
+    """Restores values with the corpus's context counts; keeps what it has decided."""
 
     def __init__(self, counts: dict[tuple[str, str, str], int]):
         self.counts = counts
-        self.known: dict[str, tuple[str, tuple[str, str]] | None] = {}
-
-    def score(self, word: str) -> tuple[int, int]:
-        """(least, sum) of the counts of the word's contexts."""
-        n = [self.counts.get(x, 0) for x in contexts(word)]
-        return (min(n), sum(n)) if n else (0, 0)
-
-    def word(self, word: str) -> tuple[str, tuple[str, str]] | None:
-        """(restored form, pair of tables) of a word with single wrong characters, or None."""
+        self.known: dict[str, tuple[str, tuple[str, str], bool] | None] = {}
+        self.wrong = ahocorasick.Automaton()
+        for g, numbers in patterns(counts).items():
+            self.wrong.add_word(g, numbers)
+        self.wrong.make_automaton()
+
+    def score(self, word: str) -> int:
+        """The least of the counts of the word's contexts."""
+        return min((self.counts.get(x, 0) for x in contexts(word)), default=0)
+
+    def word(self, word: str) -> tuple[str, tuple[str, str], bool] | None:
+        """(restored form, pair of tables, whether letters stand beside what changed) of a word with matched contexts, or None."""
         if word in self.known:
             return self.known[word]
-        back, letters = _letters()
         best, least = None, 0
-        if any(c in letters for c in word):
-            # Nothing speaks for a word with a C1 control as it stands.
-            odd = _C1.search(word) is not None
-            floor = 1 if odd else RATIO * (self.score(word)[0] + 1)
-            for pair, t in back.items():
-                new = self.back(word, t)
-                if new and (n := self.score(new)[0]) >= floor and n > least:
-                    best, least = (new, pair), n
-            if odd and best is None:
-                best = self.placed(word)
+        odd = _C1.search(word) is not None
+        # Nothing speaks for a word with a C1 control as it stands.
+        floor = 1 if odd else RATIO * (self.score(word) + 1)
+        matched = sorted({n for _, numbers in self.wrong.iter(f" {word.translate(_KEYS)} ") for n in numbers}) if len(self.wrong) else []
+        for number in matched:
+            pair, t, _ = pairs()[number]
+            new = self.back(word, t)
+            if new and (n := self.score(new)) >= floor and n > least:
+                best, least = (new, pair, odd or self.beside(word, new)), n
+        if odd and best is None:
+            best = self.placed(word)
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[word] = best
         return best
 
-    def placed(self, word: str) -> tuple[str, tuple[str, str]] | None:
+    @staticmethod
+    def beside(word: str, new: str) -> bool:
+        """Whether a letter stands beside each changed character, or digits on both sides, so that it can be no sign on its own, and none was without a glyph."""
+        padded = f" {new} "
+        beside = lambda l, r: l.isalpha() or r.isalpha() or l.isdigit() and r.isdigit()
+        return all(beside(padded[i], padded[i + 2]) and (x != "\xad" or y.isalpha()) for i, (x, y) in enumerate(zip(word, new)) if x != y)
+
+    def placed(self, word: str) -> tuple[str, tuple[str, str], bool] | None:
         """The word read as cp1252, if each of its C1 controls then is a sign where such a sign stands."""
         pair = ("cp1252", "latin-1")
-        new = word.translate(_letters()[0][pair])
+        new = word.translate(next(t for p, t, _ in pairs() if p == pair))
         at = {m.start() for m in _PLACED.finditer(new)}
-        return (new, pair) if all(m.start() in at for m in _C1.finditer(word)) else None
+        return (new, pair, True) if all(m.start() in at for m in _C1.finditer(word)) else None
 
     def back(self, word: str, t: dict[int, str]) -> str | None:
         """The word with its wrong characters translated back; None if that changes nothing or gives no text."""
@@ -197,43 +265,63 @@ class Restorer:
             return None
         return None if new == word or new.isascii() or any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in new if c > "~") else new
 
+    def sequence(self, left: str, garbled: str, right: str, x: Garbled, tables: frozenset[str]) -> bool:
+        """Whether a matched sequence is garbled: it can be nothing else, its tables read other parts of the value, or counts say so."""
+        c, own, sure = x
+        if own.isdisjoint(TABLES):
+            # What other tables give needs a letter beside it, where it is one.
+            if c[0].isalpha() and not (_beside(left, right) or len(c) > 1):
+                return False
+            ambiguous = not (sure or self.inside(left, garbled)) or "Ͱ" <= c <= "џ"
+            return not ambiguous or not own.isdisjoint(tables) or self.likely(left, garbled, c, right)
+        return not _ambiguous(left, garbled, c) or self.likely(left, garbled, c, right)
+
+    @staticmethod
+    def inside(left: str, garbled: str) -> bool:
+        """A Latin capital right behind a small letter, as no word has it."""
+        return left.islower() and garbled[0].isupper() and max(left, *garbled) < "ɐ"
+
     def text(self, text: str | None) -> tuple[bool, str | None]:
         """(garbled, the text with the garbled spans restored)."""
         if text is None or text.isascii():
             return False, text
         garbled = LOST in text
-        out: list[str] = []
-        last = 0
-        for start, end, c in spans(text):
-            out.append(text[last:start])
-            left = (out[-1] or "".join(out[-2:]))[-1:]
-            if _ambiguous(left, text[start:end], c) and not self.likely(left, text[start:end], c, text[end : end + 1]):
-                out.append(text[start:end])
-            else:
-                out.append(c)
-                garbled = True
-            last = end
-        if out:
-            text = "".join([*out, text[last:]])
-        found = [x for w in _WORD.findall(text) if (x := self.word(w))]
-        if found:
-            pair = Counter(p for _, p in found).most_common(1)[0][0]
-            text = _WORD.sub(lambda m: self.under(m[0], pair), text)
-        return garbled or bool(found) or _C1.search(text) is not None, text
-
-    def under(self, word: str, pair: tuple[str, str]) -> str:
-        """A word of a value that was read under a pair of tables: weaker counts are enough."""
-        if x := self.word(word):
-            return x[0]
-        new = self.back(word, _letters()[0][pair])
-        return new if new and (_C1.search(word) or self.score(new)[0] > self.score(word)[0]) else word
+        if found := matches(text):
+            plain = lambda a, b, x: self.sequence(text[a - 1 : a] if a else "", text[a:b], text[b : b + 1], x, frozenset())
+            tables = frozenset(t for a, b, may in found for x in may if plain(a, b, x) for t in x[1]) | self.wide(text, found)
+            new, last = "", 0
+            for a, b, may in found:
+                if a >= last:
+                    left = (text[last:a] or new)[-1:]
+                    fit = [x for x in may if self.sequence(left, text[a:b], text[b : b + 1], x, tables)]
+                    if fit:
+                        # No capital inside a small word, if there is a choice.
+                        new += text[last:a] + min(fit, key=lambda x: x[0].isupper() and (left or text[b : b + 1]).islower())[0]
+                        last, garbled = b, True
+            text = new + text[last:]
+        words = {w: x for w in _WORD.findall(text) if (x := self.word(w))}
+        sure = {pair for _, pair, strong in words.values() if strong}
+        words = {w: new for w, (new, pair, strong) in words.items() if strong or pair in sure}
+        if words:
+            text = _WORD.sub(lambda m: words.get(m[0], m[0]), text)
+        return garbled or bool(words) or _C1.search(text) is not None, text
+
+    @staticmethod
+    def wide(text: str, found: list[tuple[int, int, list[Garbled]]]) -> frozenset[str]:
+        """The tables of several bytes under which all far letters of a value are garbled letters inside Latin words."""
+        for t in WIDE:
+            here = [(a, b) for a, b, may in found for c, tables, _ in may if t in tables and c[0].isalpha()]
+            inside = {i for a, b in here for i in range(a, b)}
+            joined = all(_beside(text[a - 1 : a] if a else "", text[b : b + 1]) or a - 1 in inside or b in inside for a, b in here)
+            if here and joined and any(_beside(text[a - 1 : a] if a else "", text[b : b + 1]) for a, b in here) and inside >= {i for i, x in enumerate(text) if x > "⺀" and x.isalpha()}:
+                return frozenset([t])
+        return frozenset()
 
     def likely(self, left: str, garbled: str, c: str, right: str) -> bool:
         """Whether an ambiguous sequence occurs less often than what it would stand for."""
-        left, right = left or " ", right or " "
-        inner = f"{left}{garbled}{right}"
-        old = min((self.counts.get((_class(inner[i - 1]), inner[i], _class(inner[i + 1])), 0) for i in range(1, len(inner) - 1) if inner[i] > "~"), default=0)
-        return self.counts.get((_class(left), c, _class(right)), 0) >= RATIO * (old + 1)
+        inner = f"{left or ' '}{garbled}{right or ' '}".translate(_KEYS)
+        old = min((self.counts.get((inner[i - 1], inner[i], inner[i + 1]), 0) for i in range(1, len(inner) - 1) if inner[i] > "~"), default=0)
+        return self.counts.get((inner[0], c[0], inner[-1] if len(c) == 1 else c[1]), 0) >= RATIO * (old + 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +347,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def context_counts(rows: DataFrame, fields: list[str]) -> dict[tuple[str, str, str], int]:
-    """Counts of (left class, character, right class) over all values of the fields.
+    """Counts of (left, character, right) over all values of the fields, for characters beyond ASCII.
 
-    Only characters below U+2600 count and classes are letters below U+02B0, a digit or a blank, so that the result is bounded by the alphabet, not by the corpus.
+    Digits, blanks, and all letters and signs from U+2600 on count as one each, so that the result is bounded by the alphabet, not
+    by the corpus: 2,700 contexts on sf0.1.
     """
-    c = rows.select(*fields).mapInArrow(_count, "l string, c string, r string, n long").where("c < '☀'").groupBy("l", "c", "r").agg(F.sum("n").alias("n")).where("n > 1")
+    c = rows.select(*fields).mapInArrow(_count, "l string, c string, r string, n long").groupBy("l", "c", "r").agg(F.sum("n").alias("n"))
     return {(r.l, r.c, r.r): r.n for r in c.toLocalIterator()}
 
 
