@@ -26,13 +26,13 @@ def brute(v, k, least):
     return out
 
 
-@pytest.mark.parametrize("cap", [4096, 60])
+@pytest.mark.parametrize("cap", [4096, 60, 4])
 def test_recall(spark, cap, monkeypatch):
-    monkeypatch.setattr(N, "CAP", cap)
-    monkeypatch.setattr(N.similar_groups, "__defaults__", (cap,))
+    """Also where buckets of every level are split, and with the full ones joined by a shuffle."""
+    monkeypatch.setattr(N, "MOST_BROADCAST", 10 if cap == 60 else 1_000_000)
     v = clusters(1)
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, vectors array<float>")
-    got = {tuple(r) for r in N.similar_pairs(rows, "vec_id", "vectors").collect()}
+    got = {tuple(r) for r in N.similar_pairs(rows, "vec_id", "vectors", cap=cap).collect()}
     want = brute(v, 5, 0.85)
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)
 
@@ -51,6 +51,23 @@ def test_copies_and_odd_rows(spark):
     assert N.similar_pairs(d.where("vec_id >= 60"), "vec_id", "vectors").count() == 0
 
 
+def test_alike_vectors_in_blocks(spark):
+    """What no rotation splits is compared whole, in pairs of blocks."""
+    v = clusters(4, 300, 16)[:1] + 0.02 * np.random.default_rng(5).normal(size=(300, 16))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, vectors array<float>")
+    got = {tuple(r) for r in N.similar_pairs(rows, "vec_id", "vectors", cap=40).collect()}
+    want = brute(v, 5, 0.85)
+    assert len(got & want) >= 0.9 * len(want)
+    assert N.neighbours(rows, "vec_id", "vectors", cap=40).groupBy("vec_id").count().where("count = 5").count() == 300
+
+
+def test_lengths(spark):
+    """Vectors of several lengths are an error, whatever batches they come in."""
+    rows = spark.createDataFrame([(1, [1.0] * 64), (2, [1.0] * 32), (3, [2.0] * 64)], "vec_id long, vectors array<float>")
+    with pytest.raises(ValueError, match="several lengths, from 32 to 64"):
+        N.neighbours(rows.repartition(3), "vec_id", "vectors")
+
+
 def test_hadamard():
     x = np.random.default_rng(3).normal(size=(5, 16)).astype(np.float32)
     assert np.allclose(N.hadamard(N.hadamard(x)), x, atol=1e-5) and np.allclose(np.linalg.norm(N.hadamard(x), axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)

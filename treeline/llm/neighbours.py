@@ -9,6 +9,7 @@ is or ``LEVELS`` are used up; what is then still larger (vectors that hardly dif
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treeline.session import cut
+
 TABLES, PROBES, LEVELS = 3, 2, 3
 CAP = 4096
-#: The most buckets that are split, which bounds what the driver sends to the tasks; beyond it buckets may be larger.
-MOST_SPLIT = 100_000
+#: The most full buckets, two numbers each, that are broadcast to be told from others; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -52,26 +55,23 @@ class Hasher:
         best = np.take_along_axis(best, order, 1)
         return best * 2 + (np.take_along_axis(x, best, 1) < 0)
 
-    def buckets(self, unit: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, bucket): buckets in ``split`` (sorted) are replaced by those of the next level."""
-        out_row, out_key = [], []
-        for t in range(TABLES):
-            row = np.arange(len(unit))
-            key = np.full(len(unit), t + 1, np.int64)
-            for level in range(LEVELS):
-                ax = self.axes(unit[row], t, level)
-                key = (key[:, None] * (2 * self.dim) + ax).ravel()
-                row = np.repeat(row, PROBES)
-                at = np.searchsorted(split, key)
-                full = (at < len(split)) & (split[np.minimum(at, len(split) - 1)] == key) if len(split) else np.zeros(len(key), bool)
-                if level == LEVELS - 1:
-                    full[:] = False
-                out_row.append(row[~full])
-                out_key.append(key[~full])
-                row, key = row[full], key[full]
-                if not len(row):
-                    break
-        return np.concatenate(out_row), np.concatenate(out_key)
+    def first(self, unit: np.ndarray) -> np.ndarray:
+        """(n, TABLES * PROBES) buckets of the first level; the table is part of the number."""
+        return np.concatenate([(t + 1) * 2 * self.dim + self.axes(unit, t, 0) for t in range(TABLES)], axis=1)
+
+    def split(self, unit: np.ndarray, key: np.ndarray, level: int) -> np.ndarray:
+        """(n, PROBES) buckets of a level (from 1) inside the buckets that the vectors are in."""
+        out = np.empty((len(unit), PROBES), np.int64)
+        table = key // (2 * self.dim) ** level
+        for t in np.unique(table):
+            here = table == t
+            out[here] = key[here, None] * (2 * self.dim) + self.axes(unit[here], int(t) - 1, level)
+        return out
+
+
+@lru_cache(maxsize=4)
+def hasher(dim: int) -> Hasher:
+    return Hasher(dim)
 
 
 def pack(unit: np.ndarray) -> list[bytes]:
@@ -91,49 +91,76 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(1)
         lengths = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-        if not len(flat):
-            continue
-        dim = lengths.max()
         ids = b.column(0).to_numpy()
-        whole = lengths == dim
-        v = flat.reshape(-1, dim) if whole.all() else np.stack([lists[int(i)].values.to_numpy(zero_copy_only=False) for i in np.flatnonzero(whole)]).astype(np.float32)
-        ids = ids[whole]
-        norm = np.linalg.norm(v.astype(np.float64), axis=1)
-        fine = np.isfinite(norm) & (norm > 0)
-        v = (v[fine] / norm[fine, None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[fine], pa.int64()), pa.array(pack(v), pa.binary())], names=["vec_id", "q"])
+        # Vectors of one length at a time; that there is only one length is checked over all rows.
+        for dim in np.unique(lengths):
+            here = np.flatnonzero(lengths == dim)
+            v = lists.take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            norm = np.linalg.norm(v.astype(np.float64), axis=1)
+            fine = np.isfinite(norm) & (norm > 0)
+            v = (v[fine] / norm[fine, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[here][fine], pa.int64()), pa.array(pack(v), pa.binary())], names=["vec_id", "q"])
 
 
 def unit_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, q): packed unit vectors; NULL, empty, all-zero and non-finite vectors and NULL ids are left out.
-
-    All vectors must have one length; within a batch, shorter ones are left out too.
-    """
+    """(vec_id, q): packed unit vectors; NULL, empty, all-zero and non-finite vectors and NULL ids are left out."""
     kept = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null)")
     return kept.mapInArrow(_units, "vec_id long, q binary")
 
 
-def _full(groups: DataFrame, dim: int, cap: int) -> np.ndarray:
-    """The buckets, of all levels but the last, that hold more than ``cap`` vectors."""
-    split = np.array([], np.int64)
-    base = 2 * Hasher(dim).dim
-    for level in range(LEVELS - 1):
+def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        q = b.column(2)
+        sizes = np.diff(np.array([0, *np.cumsum([len(x) for x in q.to_pylist()])]))
+        keys = np.zeros((len(q), TABLES * PROBES), np.int64)
+        for n in np.unique(sizes):
+            here = np.flatnonzero(sizes == n)
+            keys[here] = hasher((int(n) - 4) // 2).first(unpack(q.take(pa.array(here)).to_pylist()))
+        offsets = pa.array(np.arange(len(q) + 1, dtype=np.int32) * keys.shape[1])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), q, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["rep", "first", "q", "keys"])
+
+
+def hashed(groups: DataFrame) -> DataFrame:
+    """(rep, first, q) with ``keys``, the buckets of the first level."""
+    return groups.select("rep", "first", "q").mapInArrow(_first_keys, "rep long, first array<long>, q binary, keys array<long>")
+
+
+def _known(small: DataFrame) -> DataFrame:
+    """A table of few rows, computed once; broadcast if it is checked to be small."""
+    small = cut(small)
+    return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
 
-        def run(batches: Iterator[pa.RecordBatch], split=split, level=level) -> Iterator[pa.RecordBatch]:
-            h = Hasher(dim)
-            low, high = base ** (level + 1), (TABLES + 1) * base ** (level + 1)
-            for b in batches:
-                _, key = h.buckets(unpack(b.column(0).to_pylist()), split)
-                key, n = np.unique(key[(key >= low) & (key < high)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-        found = groups.select("q").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > cap).select("key")
-        more = np.array([r.key for r in found.toLocalIterator()], np.int64)
-        if not len(more):
+def buckets(groups: DataFrame, dim: int, cap: int) -> DataFrame:
+    """(key, rep, q): each group in its buckets, of which none but pairs of blocks hold more than ``cap`` groups.
+
+    Only vectors of full buckets are hashed again, level by level; the full ones are joined, never held by the driver.
+    """
+    base = 2 * hasher(dim).dim
+    s = groups.select(F.explode("keys").alias("key"), "rep", "q")
+    new = s
+    for level in range(1, LEVELS + 1):
+        full = new.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap)
+        if level == LEVELS:
             break
-        split = np.sort(np.concatenate([split, more]))
-    return split
+        full = _known(full.select("key", F.lit(True).alias("full")))
+        if full.isEmpty():
+            return s
+
+        def run(batches: Iterator[pa.RecordBatch], level=level) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key = hasher(dim).split(unpack(b.column(2).to_pylist()), b.column(0).to_numpy(), level) if b.num_rows else np.zeros((0, PROBES), np.int64)
+                at = pa.array(np.repeat(np.arange(b.num_rows), PROBES))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel(), pa.int64()), b.column(1).take(at), b.column(2).take(at)], names=["key", "rep", "q"])
+
+        known = s.join(full, "key", "left")
+        new = known.where("full").select("key", "rep", "q").mapInArrow(run, "key long, rep long, q binary")
+        s = known.where("full is null").select("key", "rep", "q").unionAll(new)
+    # Buckets of the last level that are still too large meet in pairs of blocks.
+    large = _known(full.where(F.col("key") >= base**LEVELS).select("key", F.ceil(F.col("n") / cap).cast("int").alias("blocks")))
+    s = s.join(large, "key", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("rep"), "blocks")).cast("int"))
+    s = s.select("key", "rep", "q", "own", F.explode(F.when(F.col("own").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other"))
+    return s.select(F.xxhash64("key", F.least("own", "other"), F.greatest(F.coalesce("own", F.lit(-1)), "other")).alias("key"), "rep", "q")
 
 
 def _best(ids: np.ndarray, v: np.ndarray, others: np.ndarray, w: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,71 +183,65 @@ def _best(ids: np.ndarray, v: np.ndarray, others: np.ndarray, w: np.ndarray, k:
     return tuple(map(np.concatenate, zip(*out))) if out else (np.array([], np.int64), np.array([], np.int64), np.array([], np.float32))
 
 
-def similar_groups(groups: DataFrame, k: int, least: float, cap: int = CAP) -> DataFrame:
-    """(rep, near): near is an array of (id, sim), most similar first, of at most k other groups; groups without any are left out.
-
-    ``groups`` has rep and q, one row per different vector.
-    """
-    head = groups.agg(F.max(F.length("q")).alias("n"), F.count("*").alias("all")).first()
-    if not head or not head["all"]:
-        return groups.select("rep", F.lit(None).cast("array<struct<sim:float,id:long>>").alias("near")).limit(0)
-    dim = (head["n"] - 4) // 2
-    cap = max(cap, head["all"] * TABLES * PROBES**LEVELS // MOST_SPLIT)
-    split = _full(groups, dim, cap)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher(dim)
-        for b in batches:
-            q = b.column(1)
-            row, key = h.buckets(unpack(q.to_pylist()), split)
-            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(row)), q.take(pa.array(row))], names=["key", "rep", "q"])
-
-    spread = groups.select("rep", "q").mapInArrow(emit, "key long, rep long, q binary")
-    if len(split):
-        # Last-level buckets that are still too large meet in pairs of blocks.
-        low = (2 * Hasher(dim).dim) ** LEVELS
-        large = spread.where(F.col("key") >= low).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("int").alias("blocks"))
-        spread = spread.join(large, "key", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("rep"), "blocks")).cast("int"))
-        spread = spread.select("key", "rep", "q", "own", F.explode(F.when(F.col("own").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other"))
-        spread = spread.select(F.xxhash64("key", F.least("own", "other"), F.greatest(F.coalesce("own", F.lit(-1)), "other")).alias("key"), "rep", "q")
-
-    def rerank(table: pa.Table) -> pa.Table:
-        ids = table.column("rep").to_numpy()
-        ids, at = np.unique(ids, return_index=True)
+def _rerank(k: int, least: float):
+    def run(table: pa.Table) -> pa.Table:
+        ids, at = np.unique(table.column("rep").to_numpy(), return_index=True)
         v = unpack(table.column("q").take(pa.array(at)).to_pylist())
         a, b, sim = _best(ids, v, ids, v, k, least)
         return pa.table({"rep": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "sim": pa.array(sim, pa.float32())})
 
-    found = spread.groupBy("key").applyInArrow(rerank, "rep long, id long, sim float")
+    return run
+
+
+def similar_groups(groups: DataFrame, dim: int, k: int, least: float, cap: int = CAP) -> DataFrame:
+    """(rep, near): near is an array of (sim, id), most similar first, of at most k other groups; groups without any are left out.
+
+    ``groups`` has rep, q and keys, one row per different vector, all of one dimension.
+    """
+    found = buckets(groups, dim, cap).groupBy("key").applyInArrow(_rerank(k, least), "rep long, id long, sim float")
     # At most k rows come from each of a vector's buckets, so the lists are short.
     per = found.groupBy("rep", "id").agg(F.max("sim").alias("sim")).groupBy("rep").agg(F.collect_list(F.struct((-F.col("sim")).alias("minus"), "id")).alias("all"))
     return per.select("rep", F.transform(F.slice(F.array_sort("all"), 1, k), lambda x: F.struct((-x["minus"]).alias("sim"), x["id"].alias("id"))).alias("near"))
 
 
-def neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int = 5, least: float = 0.85) -> DataFrame:
+def neighbours(rows: DataFrame, id_col: str, vector_col: str, k: int = 5, least: float = 0.85, cap: int = CAP) -> DataFrame:
     """(vec_id, rank, neighbour, similarity) of the k rows most similar to each row, of those with at least the cosine similarity.
 
     Equal vectors are hashed once, as one group, and their rows are neighbours with similarity 1; ties go to the smaller id.
-    A row without vector or with an all-zero one has no neighbours and is none. Repeated ids count once.
+    A row without vector or with an all-zero one has no neighbours and is none. A repeated row comes out again; other columns are
+    not read. Vectors of several lengths are an error. Rows find their group by 128 bits of their packed vector's hashes: that two
+    of a billion different vectors share them has a chance of 1e-21.
     """
     units = unit_vectors(rows, id_col, vector_col)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("vec_id"))
     # The first k + 1 rows of a group are all that can be among anyone's k best; the limit works before the shuffle.
     first = units.withColumn("n", rank).where(F.col("n") <= k + 1)
-    groups = first.groupBy("q").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_set("vec_id")).alias("first"))
-    groups = groups.persist()
-    near = similar_groups(groups.select("rep", "q"), k, least).select("rep", F.explode("near").alias("x")).select("rep", F.col("x.id").alias("id"), F.col("x.sim").alias("sim"))
-    near = near.join(groups.select(F.col("rep").alias("id"), "first"), "id").select("rep", F.explode("first").alias("id"), "sim")
-    own = groups.where(F.size("first") > 1).select("rep", F.explode("first").alias("id"), F.lit(1.0).cast("float").alias("sim"))
-    lists = near.unionAll(own).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("minus"), "id"))).alias("near"))
-    lists = lists.join(groups.select("rep", F.xxhash64("q").alias("h1"), F.hash("q").alias("h2")), "rep").select("h1", "h2", "near")
-    each = units.select("vec_id", F.xxhash64("q").alias("h1"), F.hash("q").alias("h2")).join(lists, ["h1", "h2"])
-    best = each.select("vec_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("vec_id")), 1, k).alias("near"))
+    groups = hashed(first.groupBy("q").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_set("vec_id")).alias("first"))).persist()
+    try:
+        lengths = groups.agg(F.min(F.length("q")).alias("a"), F.max(F.length("q")).alias("b")).first()
+        if lengths["a"] != lengths["b"]:
+            raise ValueError(f"vectors of several lengths, from {(lengths['a'] - 4) // 2} to {(lengths['b'] - 4) // 2}")
+        dim = ((lengths["a"] or 8) - 4) // 2
+        near = similar_groups(groups, dim, k, least, cap).select("rep", F.explode("near").alias("x")).select("rep", F.col("x.id").alias("id"), F.col("x.sim").alias("sim"))
+        near = near.join(groups.select(F.col("rep").alias("id"), "first"), "id").select("rep", F.explode("first").alias("id"), "sim")
+        own = groups.where(F.size("first") > 1).select("rep", F.explode("first").alias("id"), F.lit(1.0).cast("float").alias("sim"))
+        lists = near.unionAll(own).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("minus"), "id"))).alias("near"))
+        # Of all of a row's group and of the k nearest groups, the first k others than itself.
+        near = F.slice("near", 1, k + 1)
+        lists = cut(lists.join(groups.select("rep", *_both("q")), "rep").select("h1", "h2", F.transform(near, lambda x: x["id"]).alias("ids"), F.transform(near, lambda x: -x["minus"]).alias("sims")))
+    finally:
+        groups.unpersist()
+    each = units.select("vec_id", *_both("q")).join(lists, ["h1", "h2"])
+    best = each.select("vec_id", F.slice(F.filter(F.arrays_zip("ids", "sims"), lambda x: x["ids"] != F.col("vec_id")), 1, k).alias("near"))
     out = best.select("vec_id", F.posexplode("near").alias("at", "x"))
-    return out.select("vec_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("neighbour"), (-F.col("x.minus")).alias("similarity"))
+    return out.select("vec_id", (F.col("at") + 1).alias("rank"), F.col("x.ids").alias("neighbour"), F.col("x.sims").alias("similarity"))
+
+
+def _both(c: str) -> list:
+    return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
 
 
-def similar_pairs(rows: DataFrame, id_col: str, vector_col: str, k: int = 5, least: float = 0.85) -> DataFrame:
+def similar_pairs(rows: DataFrame, id_col: str, vector_col: str, k: int = 5, least: float = 0.85, cap: int = CAP) -> DataFrame:
     """(vec_a, vec_b), vec_a < vec_b: the pairs of which one is among the k most similar of the other, at ``least`` or more."""
-    n = neighbours(rows, id_col, vector_col, k, least)
+    n = neighbours(rows, id_col, vector_col, k, least, cap)
     return n.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()
