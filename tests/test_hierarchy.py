@@ -2,19 +2,11 @@
 
 import random
 
-import pytest
-
 from treeline.operators import hierarchy
 
 SCHEMA = "node_id long, version string, lang string, pos long, symbol string, parent string, extra string"
 
 
-@pytest.fixture(autouse=True, params=[0, 100_000])
-def local(request, monkeypatch):
-    """Both by rounds to the end and by one task."""
-    monkeypatch.setattr(hierarchy, "LOCAL", request.param)
-
-
 def brute(rows):
     """node_id -> (root, depth, path, cycle_id) by walking."""
     first = {}
@@ -82,6 +74,24 @@ def test_forms_nulls_and_hot_parent(spark):
     assert placed[5].depth == 0 and placed[5].n_descendants == 0
 
 
+def test_long_chain(spark):
+    """Rounds follow the logarithm of the height, and a circle with long tails is found as well."""
+    n = 1_000_000
+    edges = spark.range(n).selectExpr("id as vid", "case when id > 0 then id - 1 end as pvid")
+    sizes, endless = hierarchy.upward(edges)
+    assert endless.count() == 0 and sizes.where(f"size <> {n} - vid").count() == 0 and sizes.count() == n
+    circle = spark.range(3000).selectExpr("id as vid", "case when id = 0 then 999 else id - 1 end as pvid")
+    named = hierarchy.name_cycles(hierarchy.upward(circle)[1])
+    assert named.count() == 3000 and [r.cycle_id for r in named.select("cycle_id").distinct().collect()] == [0]
+
+
+def test_wide_tree_in_stretches(spark, monkeypatch):
+    """A range of many buckets is spread over its buckets in stretches."""
+    monkeypatch.setattr(hierarchy, "STRETCH", 3)
+    rows = [(i, "v", "EN", i, f"C{i:03d}", f"C{i // 3:03d}" if i else None, "x") for i in range(150)]
+    check(spark, rows)
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert hierarchy.hierarchy(empty).count() == 0 and hierarchy.cyclic_rows(empty).count() == 0

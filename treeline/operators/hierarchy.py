@@ -1,12 +1,13 @@
 """Parent links to whole hierarchies, as nested sets.
 
-Sizes are summed upward by peeling leaves, sibling ranges are laid out by prefix sums, and the ranges
-are carried downward along the paths by pointer doubling. What the peeling never reaches is the closed chains.
+Sizes are summed upward by doubling steps: after k rounds a vertex knows the number of vertices fewer than 2^k steps below it,
+and its ancestor 2^k steps above. Sibling ranges are laid out by prefix sums and carried downward along the paths, again by
+doubling. All rounds follow the logarithm of the height, for bushes and for chains alike; a round only touches vertices as deep
+as its step is long. What the sums upward never finish with is on closed chains or below them.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +16,8 @@ from treeline.functions import symbols
 from treeline.session import cut
 
 NONE = "\x00"
-#: The most vertices that one task peels to the end.
-LOCAL = 100_000
+#: Buckets of preorder numbers that one range is spread over at a time.
+STRETCH = 65_536
 
 
 def _canonical(c: Column) -> Column:
@@ -45,51 +46,33 @@ def vertices(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, edges
 
 
-def _finish(t: pa.Table) -> pa.Table:
-    """The rest of the peeling, of at most LOCAL vertices: (vid, pvid, size, closed)."""
-    vid, pvid = t.column("vid").to_pylist(), t.column("pvid").to_pylist()
-    size = dict(zip(vid, t.column("size").to_pylist()))
-    up = dict(zip(vid, pvid))
-    kids: dict[int, int] = dict.fromkeys(vid, 0)
-    for p in pvid:
-        if p is not None:
-            kids[p] += 1
-    ready = [v for v in vid if not kids[v]]
-    while ready:
-        v = ready.pop()
-        kids[v] = -1
-        p = up[v]
-        if p is not None:
-            size[p] += size[v]
-            kids[p] -= 1
-            if not kids[p]:
-                ready.append(p)
-    return pa.table({"vid": t.column("vid"), "pvid": t.column("pvid"), "size": pa.array([size[v] for v in vid], pa.int64()), "closed": pa.array([kids[v] > 0 for v in vid])})
-
-
-def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sizes, cycles): subtree sizes, summed upward leaf by leaf, and the vertices that are never peeled, which lie on closed chains.
-
-    Each round touches only what is left, so that all rounds together cost about as much as the first few. Once at most LOCAL
-    vertices are left, one task peels them to the end, so that long thin chains need no round for each step.
+def upward(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sizes, endless): vid and size of every vertex, and those from which following parents never ends, for ``name_cycles``.
+
+    A vertex with an ancestor 2^k steps above gives it what it has summed so far, so that nothing is counted twice. If some
+    vertex lies that deep in a tree, others lie half as deep; hence as long as there are any, each round leaves fewer, and a
+    round that does not leaves the endless ones. Their sizes mean nothing.
     """
-    left = edges.select("vid", "pvid", F.lit(1).cast("long").alias("size"))
-    n_left = edges.count()
-    done: list[DataFrame] = []
-    while n_left > LOCAL:
-        inner = left.where("pvid is not null").groupBy(F.col("pvid").alias("vid")).agg(F.lit(1).alias("inner"))
-        marked = cut(left.join(inner, "vid", "left"))
-        leaves = marked.where("inner is null").select("vid", "size", "pvid")
-        rest = marked.where("inner is not null").select("vid", "pvid", "size")
-        n_rest = rest.count()
-        done.append(leaves.select("vid", "size"))
-        given = leaves.where("pvid is not null").groupBy(F.col("pvid").alias("vid")).agg(F.sum("size").alias("more"))
-        left = rest.join(given, "vid", "left").select("vid", "pvid", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
-        if n_rest == n_left:
-            return _union([*done, edges.select("vid", F.lit(1).cast("long").alias("size")).limit(0)]), rest.select("vid", "pvid")
-        n_left = n_rest
-    last = cut(left.groupBy(F.lit(0).alias("one")).applyInArrow(_finish, "vid long, pvid long, size long, closed boolean"))
-    return _union([*done, last.where("not closed").select("vid", "size")]), last.where("closed").select("vid", "pvid")
+    one = F.lit(1).cast("long").alias("size")
+    active = cut(edges.where("pvid is not null").select("vid", F.col("pvid").alias("end"), F.col("vid").alias("least"), one))
+    n = active.count()
+    sums = [edges.select("vid", one)]
+    while n:
+        given = active.groupBy(F.col("end").alias("vid")).agg(F.sum("size").alias("size"))
+        sums.append(given)
+        more = _double(active, "size").join(given.withColumnRenamed("size", "more"), "vid", "left")
+        active = cut(more.select("vid", "end", "least", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        left = active.count()
+        if left == n:
+            break
+        n = left
+    return _union(sums).groupBy("vid").agg(F.sum("size").alias("size")), active.select("vid", "end", "least")
+
+
+def _double(state: DataFrame, *more: str) -> DataFrame:
+    """Steps twice as long: ``end`` is the vertex that they lead to, ``least`` the smallest id before it; what has no such end goes."""
+    other = state.select(F.col("vid").alias("end"), F.col("end").alias("end2"), F.col("least").alias("least2"))
+    return state.join(other, "end").select("vid", F.col("end2").alias("end"), F.least("least", "least2").alias("least"), *more)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -99,17 +82,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def name_cycles(cycles: DataFrame) -> DataFrame:
-    """(vid, cycle_id): the smallest id on each closed chain, by doubling the stretch that each vertex has seen.
+def name_cycles(state: DataFrame) -> DataFrame:
+    """(vid, cycle_id) of vertices (vid, end, least) from which following parents never ends: the smallest id on the closed chain.
 
-    A round that changes nothing proves that every stretch has the whole chain's minimum.
+    Steps are doubled until the vertices that they end in end in just as many: those are the closed chains. On these, steps are
+    doubled further until that changes no least id, which proves that each has seen its whole chain.
     """
-    state = cycles.select("vid", F.col("pvid").alias("nxt"), F.least("vid", "pvid").alias("least"))
     while True:
-        other = state.select(F.col("vid").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("least").alias("least2"))
-        state = cut(state.join(other, "nxt").select("vid", F.col("nxt2").alias("nxt"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("changed")))
-        if state.where("changed").isEmpty():
-            return state.select("vid", F.col("least").alias("cycle_id"))
+        ends = cut(state.select(F.col("end").alias("vid")).distinct().join(state, "vid"))
+        n = ends.agg(F.count("*").alias("all"), F.count_distinct("end").alias("different")).first()
+        if n["all"] == n["different"]:
+            break
+        state = cut(_double(state))
+    while True:
+        far = cut(_double(ends.withColumn("was", F.col("least")), "was"))
+        if far.where("least < was").isEmpty():
+            return state.join(ends.select(F.col("vid").alias("end"), F.col("least").alias("cycle_id")), "end").select("vid", "cycle_id")
+        ends = far.select("vid", "end", "least")
 
 
 def sibling_offsets(edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -139,42 +128,39 @@ def hierarchy(nodes: DataFrame, with_path: bool = True) -> DataFrame:
     of siblings: pos, then id. A parent in any accepted form is resolved; NULL, empty and unknown parents make a root.
     """
     rows, edges = vertices(nodes)
-    sizes, cycles = peel(edges)
-    circle = name_cycles(cut(cycles))
-    offs = sibling_offsets(edges, sizes)
+    sizes, endless = upward(edges)
+    circle = cut(name_cycles(endless))
+    offs = sibling_offsets(edges.join(circle, "vid", "left_anti"), sizes)
     own = F.array("sym") if with_path else F.array().cast("array<string>")
-    start = offs.select(
-        "vid", "size", "off", own.alias("path"), F.coalesce("pvid", "vid").alias("top"),
-        F.col("pvid").isNotNull().alias("open"), F.when(F.col("pvid").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.lit(None).cast("long").alias("cycle_id"),
+    state = cut(
+        offs.select(
+            "vid", "size", "off", own.alias("path"), F.coalesce("pvid", "vid").alias("top"),
+            F.col("pvid").isNotNull().alias("open"), F.when(F.col("pvid").isNull(), 0).otherwise(1).cast("long").alias("hops"),
+        )
     )
-    closed = circle.select(
-        "vid", F.lit(None).cast("long").alias("size"), F.lit(0).cast("long").alias("off"), F.array().cast("array<string>").alias("path"), F.col("vid").alias("top"),
-        F.lit(False).alias("open"), F.lit(0).cast("long").alias("hops"), "cycle_id",
-    )
-    state = cut(start.unionAll(closed))
     while not state.where("open").isEmpty():
         above = state.select(
-            F.col("vid").alias("top"), F.col("top").alias("top2"), F.col("open").alias("open2"), F.col("hops").alias("hops2"), F.col("off").alias("off2"), F.col("path").alias("path2"), F.col("cycle_id").alias("cycle2"),
+            F.col("vid").alias("top"), F.col("top").alias("top2"), F.col("open").alias("open2"), F.col("hops").alias("hops2"), F.col("off").alias("off2"), F.col("path").alias("path2"),
         )
         moved = state.where("open").join(above, "top").select(
             "vid", "size", (F.col("off") + F.col("off2")).alias("off"), F.concat("path2", "path").alias("path"), F.col("top2").alias("top"),
-            F.col("open2").alias("open"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("cycle2").alias("cycle_id"),
+            F.col("open2").alias("open"), (F.col("hops") + F.col("hops2")).alias("hops"),
         )
         state = cut(state.where("not open").unionAll(moved))
     tops = edges.select(F.col("vid").alias("top"), F.col("sym").alias("root"))
-    placed = state.join(tops, "top").join(edges.select("vid", "v", "l", "sym"), "vid")
-    fine = F.col("cycle_id").isNull()
+    placed = edges.select("vid", "v", "l", "sym").join(state.join(tops, "top"), "vid", "left").join(circle, "vid", "left")
     placed = placed.select(
-        "v", "l", "sym", "vid", "cycle_id",
-        F.when(fine, F.col("top")).alias("root_vid"), F.when(fine, F.col("root")).alias("root"), F.when(fine, F.col("hops")).alias("depth"),
-        F.when(fine, F.array_join("path", "|")).alias("path"), F.when(fine, F.col("off")).alias("lft"), F.when(fine, F.col("off") + F.col("size") - 1).alias("rgt"), F.when(fine, F.col("size") - 1).alias("n_descendants"),
+        "v", "l", "sym", "vid", "cycle_id", F.col("top").alias("root_vid"), "root", F.col("hops").alias("depth"),
+        F.array_join("path", "|").alias("path"), F.col("off").alias("lft"), (F.col("off") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"),
     )
     return rows.select("node_id", "v", "l", "sym").join(placed, ["v", "l", "sym"]).drop("v", "l", "sym")
 
 
 def cyclic_rows(nodes: DataFrame) -> DataFrame:
-    """node_id, cycle_id of the rows from which following parents never ends."""
-    return hierarchy(nodes, with_path=False).where("cycle_id is not null").select("node_id", "cycle_id")
+    """node_id, cycle_id of the rows from which following parents never ends; no more is computed than that needs."""
+    rows, edges = vertices(nodes)
+    circle = name_cycles(upward(edges)[1]).join(edges.select("vid", "v", "l", "sym"), "vid")
+    return rows.select("node_id", "v", "l", "sym").join(circle, ["v", "l", "sym"]).select("node_id", "cycle_id")
 
 
 def descendants(placed: DataFrame, width: int = 16) -> DataFrame:
@@ -182,8 +168,11 @@ def descendants(placed: DataFrame, width: int = 16) -> DataFrame:
 
     A range join on buckets of ``width`` preorder numbers: a range goes to each bucket it overlaps, a vertex to its one bucket.
     A bucket of a tree holds ``width`` vertices and the ranges over them, at most width times the depth, so that no key is hot.
+    A long range is cut into stretches of buckets, which are spread before each goes to its buckets.
     """
     v = placed.where("root_vid is not null").select("root_vid", "vid", "lft", "rgt").distinct()
-    ranges = v.where("rgt > lft").select("root_vid", "vid", "lft", "rgt", F.explode(F.sequence(F.floor((F.col("lft") + 1) / width), F.floor(F.col("rgt") / width))).alias("bucket"))
+    first, last = F.floor((F.col("lft") + 1) / width).cast("long"), F.floor(F.col("rgt") / width).cast("long")
+    ranges = v.where("rgt > lft").select("root_vid", "vid", "lft", "rgt", last.alias("last"), F.explode(F.sequence(first, last, F.lit(STRETCH).cast("long"))).alias("start"))
+    ranges = ranges.repartition("vid", "start").select("root_vid", "vid", "lft", "rgt", F.explode(F.sequence("start", F.least(F.col("start") + STRETCH - 1, "last"))).alias("bucket"))
     points = v.select("root_vid", F.col("vid").alias("descendant_vid"), F.col("lft").alias("at"), F.floor(F.col("lft") / width).alias("bucket"))
     return ranges.join(points, ["root_vid", "bucket"]).where("at > lft and at <= rgt").select("root_vid", "vid", "descendant_vid")

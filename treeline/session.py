@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether a checkpoint's files go when nothing refers to it any more.
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def get_spark(app: str = "treeline", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
     return (
@@ -20,6 +24,7 @@ def get_spark(app: str = "treeline", cores: str = "*", shuffle_partitions: int =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TREELINE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(CLEAN, "true")
         .getOrCreate()
     )
 
@@ -30,8 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in ``spark.checkpoint.dir``; a local session without one gets its own."""
+    """Use the folder that the cluster names in ``spark.checkpoint.dir``; a local session without one gets its own.
+
+    Unless the session says otherwise, what is cut is deleted once no DataFrame needs it, so that the folder does not only grow.
+    """
     sc = spark.sparkContext
+    if not sc._jsc.sc().conf().contains(CLEAN):
+        sc._jsc.sc().conf().set(CLEAN, "true")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
