@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +21,8 @@ from treeline.functions.symbols import LEVELS
 from treeline.session import cut
 
 AUTO = "auto"
+#: The most bytes of query vectors that are broadcast.
+MOST_BROADCAST = 64 << 20
 QE = ["query_id", "ed"]
 
 
@@ -76,13 +79,18 @@ def tree(entries: DataFrame) -> DataFrame:
     return t.select("ed", "symbol", "path", F.try_element_at("path", F.lit(-2)).alias("parent"), symbols.level(F.col("symbol")).alias("level"))
 
 
-def _pack(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors, without NULL and all-zero ones."""
-    kept = [(i, v) for i, v in zip(ids, vectors) if v is not None and len(v) and None not in v and any(v)]
-    if not kept:
-        return np.array([], np.int64), np.zeros((0, 0))
-    m = np.array([v for _, v in kept], np.float64)
-    return np.array([i for i, _ in kept]), m / np.linalg.norm(m, axis=1, keepdims=True)
+def unit_rows(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, unit vectors) of the vectors that have a direction: not NULL, not all zero, nothing missing in them. They must be of one length."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lengths)
+    if not len(rows):
+        return rows, np.zeros((0, 0))
+    if len(np.unique(lengths[rows])) > 1:
+        raise ValueError(f"vectors of several lengths, from {lengths[rows].min()} to {lengths[rows].max()}")
+    m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    norm = np.linalg.norm(m, axis=1)
+    fine = np.isfinite(norm) & (norm > 0)
+    return rows[fine], m[fine] / norm[fine, None]
 
 
 def _blocks(rows: DataFrame, id_col: str, vector: str, size: int) -> DataFrame:
@@ -92,9 +100,10 @@ def _blocks(rows: DataFrame, id_col: str, vector: str, size: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, size):
                 s = b.slice(at, size)
-                ids, m = _pack(s.column(0).to_pylist(), s.column(1).to_pylist())
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()]), pa.array([m.astype("<f8").tobytes()]), pa.array([m.shape[1]], pa.int32())], names=["ids", "vectors", "dim"])
+                where, m = unit_rows(s.column(1))
+                if len(where):
+                    ids = s.column(0).to_numpy(zero_copy_only=False)[where].astype("<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([m.tobytes()]), pa.array([m.shape[1]], pa.int32())], names=["ids", "vectors", "dim"])
 
     return rows.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "ids binary, vectors binary, dim int")
 
@@ -104,14 +113,18 @@ def similarities(queries: DataFrame, rows: DataFrame, top: int | None = None, le
 
     Blocks of queries meet blocks of rows in one matrix product each. With ``top``, only each block's best leave it, ties to the
     smaller id and the query's own id left out, which is enough for the best over all blocks. NULL and all-zero vectors have no
-    similarities. All vectors must have one length.
+    similarities. Vectors of several lengths are an error. The blocks of queries are broadcast if they are checked to be small, so
+    that rows are read once and never moved; else both sides are written once and met block by block.
     """
-    q = _blocks(queries, "query_id", "vector", block).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), "dim")
+    q = cut(_blocks(queries, "query_id", "vector", block).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.col("dim").alias("qdim")))
     r = _blocks(rows, "vec_id", "vector", block * 4)
+    small = (q.agg(F.sum(F.length("qids") + F.length("qvectors"))).first()[0] or 0) <= MOST_BROADCAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qi, qv, ri, rv, dim in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for qi, qv, qdim, ri, rv, dim in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if dim != qdim:
+                    raise ValueError(f"vectors of several lengths: {qdim} of a query, {dim} of a row")
                 qids, rids = np.frombuffer(qi, "<i8"), np.frombuffer(ri, "<i8")
                 s = np.frombuffer(qv, "<f8").reshape(-1, dim) @ np.frombuffer(rv, "<f8").reshape(-1, dim).T
                 floor = -2.0 if least is None else least - 1e-9
@@ -132,9 +145,8 @@ def similarities(queries: DataFrame, rows: DataFrame, top: int | None = None, le
                     i, j, sim = i[keep], j[keep], sim[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(rids[j]), pa.array(sim)], names=["query_id", "vec_id", "similarity"])
 
-    # Written so that it is no join key: all blocks have one dimension, and a key would bring them all to one task.
-    pairs = r.crossJoin(q.withColumnRenamed("dim", "qdim")).where("dim - qdim = 0").select("qids", "qvectors", "ids", "vectors", "dim")
-    return pairs.mapInArrow(run, "query_id long, vec_id long, similarity double")
+    pairs = r.crossJoin(F.broadcast(q)) if small else cut(r).crossJoin(q)
+    return pairs.select("qids", "qvectors", "qdim", "ids", "vectors", "dim").mapInArrow(run, "query_id long, vec_id long, similarity double")
 
 
 def flat(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
