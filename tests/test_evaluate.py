@@ -5,6 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from treeline.operators import chunking, evaluate, rerank, running
 
 
@@ -29,12 +32,25 @@ def test_fuse(spark):
     assert (rerank.candidates(10), rerank.candidates(3), rerank.candidates(3, 7), rerank.candidates(3, 0), rerank.candidates(3, None, False)) == (50, 25, 7, 25, 3)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab.;\n ", max_size=60), st.integers(1, 6), st.integers(0, 3))
+def test_chunks_by_rules(text, limit, overlap):
+    """Whatever the counter: within the limit, all words in order, and each chunk as long as it can be."""
+    got = chunking.chunks(text, limit, overlap=overlap)
+    same = chunking.chunks(text, limit, lambda t: len(t.split()), overlap)
+    assert got == same and all(0 < len(c.split()) <= limit for c in got)
+    plain = chunking.chunks(text, limit, overlap=0)
+    assert " ".join(plain).split() == text.split()
+    long = chunking.chunks(text, limit, lambda t: 2 * len(t.split()) + 1, 0)
+    assert all(2 * len(c.split()) + 1 <= limit or len(c.split()) == 1 for c in long) and " ".join(long).split() == text.split()
+
+
 def test_chunks():
     t = "One two three. Four five; six seven eight nine.\n\nAn end"
     assert chunking.chunks(t, 7, overlap=0) == ["One two three. Four five;", "six seven eight nine.", "An end"]
     assert chunking.chunks(t, 6) == ["One two three. Four five;", "Four five; six seven eight nine.", "An end"]
     assert chunking.chunks(t, None) == ["One two three. Four five; six seven eight nine.", "An end"]
-    assert chunking.chunks("a b c d e", 2) == ["a b", "b c d"] or chunking.chunks("a b c d e", 2) == ["a b", "c d", "e"]
+    assert chunking.chunks("a b c d e", 2) == ["a b", "c d", "e"] and chunking.chunks("a b c d e", 3, overlap=2) == ["a b c", "d e"]
     assert chunking.chunks(None, 5) == chunking.chunks(" \n\n ", 5) == []
 
 

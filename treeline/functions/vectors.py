@@ -55,8 +55,37 @@ def md5_bucket(token: Column, dim: int) -> Column:
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """(keys, mean): the unit mean of each key's vectors, by position, so that no group is collected; NULL vectors do not count."""
-    at = rows.where(F.col(vector).isNotNull()).select(*keys, F.posexplode(doubles(F.col(vector))).alias("i", "x"))
-    each = at.groupBy(*keys, "i").agg(F.avg("x").alias("x"))
-    listed = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l"))
-    return listed.select(*keys, normalize(F.transform("l", lambda e: e["x"])).alias("mean"))
+    """(keys, mean): the unit mean of each key's vectors; NULL vectors do not count, vectors of several lengths are an error.
+
+    Each batch of rows is summed by key before anything is shuffled, and sums of sums are taken, so that no group is collected.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    source = rows.where(F.col(vector).isNotNull()).select(*keys, doubles(F.col(vector)).alias("_sum"))
+    fields = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c in keys)
+
+    def partial(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat, lengths = b.column(len(keys)).flatten().to_numpy(zero_copy_only=False), np.diff(b.column(len(keys)).offsets.to_numpy())
+            if lengths.min() != lengths.max():
+                raise ValueError(f"vectors of several lengths, from {lengths.min()} to {lengths.max()}")
+            each = pa.table({**{k: b.column(i) for i, k in enumerate(keys)}, "_row": pa.array(range(b.num_rows))}).group_by(keys).aggregate([("_row", "list")])
+            lists = each.column("_row_list").combine_chunks()
+            at = lists.offsets.to_numpy()
+            sums = np.add.reduceat(flat.reshape(b.num_rows, -1)[lists.flatten().to_numpy()], at[:-1], axis=0)
+            arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([*(each.column(k).combine_chunks() for k in keys), arrays], names=[*keys, "_sum"])
+
+    def total(t: pa.Table) -> pa.Table:
+        sums = t.column("_sum").combine_chunks()
+        lengths = np.diff(sums.offsets.to_numpy())
+        if lengths.min() != lengths.max():
+            raise ValueError(f"vectors of several lengths, from {lengths.min()} to {lengths.max()}")
+        m = sums.flatten().to_numpy(zero_copy_only=False).reshape(len(lengths), -1).sum(axis=0)
+        n = np.linalg.norm(m)
+        return pa.table({**{k: t.column(k).slice(0, 1) for k in keys}, "mean": pa.array([m / (n or 1.0)], pa.list_(pa.float64()))})
+
+    return source.mapInArrow(partial, f"{fields}, _sum array<double>").groupBy(*keys).applyInArrow(total, f"{fields}, mean array<double>")

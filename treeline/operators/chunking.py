@@ -1,9 +1,16 @@
-"""Long texts cut into chunks that an embedder takes whole: at paragraphs, sentences, and words where nothing else helps."""
+"""Long texts cut into chunks that an embedder takes whole: at paragraphs, sentences, and words where nothing else helps.
+
+A paragraph is a row of units, and a chunk a range of it. How far a range can reach is found by search: over prefix sums for a
+counter whose counts add up, such as that of words, else by doubling and halving steps over the joined text, so that a text is
+counted a logarithmic number of times and not once for each unit.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,8 +18,9 @@ from pyspark.sql import functions as F
 
 from treeline.functions import textnorm
 
-_BREAK = re.compile(r"\n\s*\n")
-_ENDS = re.compile(r"(?<=[.!?;:])\s+(?=\S)")
+# What stands between paragraphs, and between sentences.
+PARAGRAPH_BREAK = r"\n\s*\n"
+SENTENCE_BREAK = r"(?<=[.!?;:])\s+(?=\S)"
 Counter = Callable[[str], int]
 
 
@@ -20,42 +28,65 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
-def _units(paragraph: str, limit: int, count: Counter) -> Iterator[str]:
-    """Sentences, and runs of words of those that are too long."""
-    for s in filter(None, map(str.strip, _ENDS.split(paragraph))):
-        if count(s) <= limit:
-            yield s
-            continue
-        run: list[str] = []
-        for w in s.split():
-            if run and count(" ".join([*run, w])) > limit:
-                yield " ".join(run)
-                run = []
-            run.append(w)
-        if run:
-            yield " ".join(run)
+#: Counters whose count of parts joined by blanks is the sum of the parts' counts.
+ADDITIVE: set[Counter] = {count_words}
+
+
+class Row:
+    """A row of texts, ranges of which are joined by blanks; the more texts, the more they count."""
+
+    def __init__(self, texts: list[str], count: Counter):
+        self.texts, self.count = texts, count
+        self.sums = [0, *accumulate(map(count, texts))] if count in ADDITIVE else None
+
+    def join(self, start: int, end: int) -> str:
+        return " ".join(self.texts[start:end])
+
+    def fits(self, start: int, end: int, limit: int) -> bool:
+        return (self.sums[end] - self.sums[start] if self.sums else self.count(self.join(start, end))) <= limit
+
+    def reach(self, start: int, limit: int) -> int:
+        """The farthest end of a range from ``start`` within the limit, which is at least one text long."""
+        n = len(self.texts)
+        if self.sums:
+            return max(start + 1, bisect_right(self.sums, self.sums[start] + limit, start + 1) - 1)
+        step, end = 1, start + 1
+        while end + step <= n and self.fits(start, end + step, limit):
+            end, step = end + step, step * 2
+        while step:
+            if end + step <= n and self.fits(start, end + step, limit):
+                end += step
+            step //= 2
+        return end
+
+    def ranges(self, limit: int, overlap: int) -> Iterator[tuple[int, int]]:
+        """Ranges within the limit that cover the row. Each begins with up to ``overlap`` texts of the one before, as many as leave room for a new one."""
+        start, end = 0, self.reach(0, limit)
+        while True:
+            yield start, end
+            if end == len(self.texts):
+                return
+            start = next(s for s in range(max(end - overlap, start), end + 1) if s == end or self.fits(s, end + 1, limit))
+            end = self.reach(start, limit)
 
 
 def chunks(text: str | None, limit: int | None, count: Counter = count_words, overlap: int = 1) -> list[str]:
     """The chunks of a text: paragraphs are never merged; the last ``overlap`` units of a full chunk begin the next one.
 
+    Units are sentences, and pieces of those above the limit, each of as many words as fit; a single word above it stays whole.
     ``limit`` None makes each paragraph one chunk. NULL, empty and blank texts have none.
     """
-    out: list[str] = []
-    for paragraph in filter(str.strip, _BREAK.split(text or "")):
-        if limit is None:
-            out.append(" ".join(paragraph.split()))
-            continue
-        held: list[str] = []
-        for unit in _units(paragraph.strip(), limit, count):
-            if held and count(" ".join([*held, unit])) > limit:
-                out.append(" ".join(held))
-                held = held[-overlap:] if overlap > 0 else []
-                while held and count(" ".join([*held, unit])) > limit:
-                    held = held[1:]
-            held.append(unit)
-        if held:
-            out.append(" ".join(held))
+    paragraphs = [p.strip() for p in re.split(PARAGRAPH_BREAK, text or "") if p.strip()]
+    if limit is None:
+        return [" ".join(p.split()) for p in paragraphs]
+    out = []
+    for p in paragraphs:
+        units = []
+        for s in re.split(SENTENCE_BREAK, p):
+            words = None if count(s) <= limit else Row(s.split(), count)
+            units += [s] if words is None else [words.join(*r) for r in words.ranges(limit, 0)]
+        row = Row(units, count)
+        out += [row.join(*r) for r in row.ranges(limit, max(overlap, 0))]
     return out
 
 

@@ -162,6 +162,18 @@ SELECT row_id, unnest(range(0, len(p))) AS n, unnest(p) AS sentence FROM p""",
     "hash_embed_histogram": f"WITH w AS (SELECT row_id, {_TOKENS.format(c='text')} FROM eval_cases) SELECT row_id, {_BUCKET} AS bucket, count(*) AS n FROM w GROUP BY ALL",
     "hash_embed_vector": f"""WITH w AS (SELECT node_id, {_TOKENS.format(c='title')} FROM nodes), h AS (SELECT node_id, {_BUCKET} AS bucket, count(*) n FROM w GROUP BY ALL), l AS (SELECT node_id, sqrt(sum(n * n)) l FROM h GROUP BY ALL)
 SELECT node_id, bucket, round(n / l, 6) AS x FROM h JOIN l USING (node_id)""",
+    # Words count one each, so that a long sentence falls into runs of 128 words; then ranges of units, the last unit of one in the next if there is room.
+    "doc_chunking": rf"""WITH RECURSIVE pp AS (SELECT doc_id, unnest(string_split_regex(text, '{_BREAK}')) x, unnest(range(0, len(string_split_regex(text, '{_BREAK}')))) i FROM documents WHERE text IS NOT NULL),
+ps AS (SELECT doc_id, i, string_split(regexp_replace(regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g'), '([.!?;:]){_WS}+', '\1' || chr(1), 'g'), chr(1)) p FROM pp WHERE regexp_replace(x, '{_WS}+', '', 'g') <> ''),
+se AS (SELECT doc_id, i, unnest(p) s, unnest(range(0, len(p))) k FROM ps),
+wo AS (SELECT *, list_filter(string_split_regex(s, '{_WS}+'), lambda z: z <> '') w FROM se),
+u0 AS (SELECT doc_id, i, k, CASE WHEN len(w) <= 128 THEN [s] ELSE list_transform(range(0, len(w), 128), lambda j: array_to_string(w[j + 1:j + 128], ' ')) END us,
+ CASE WHEN len(w) <= 128 THEN [len(w)] ELSE list_transform(range(0, len(w), 128), lambda j: least(128, len(w) - j)) END ns FROM wo),
+u1 AS (SELECT doc_id, i, flatten(list(us ORDER BY k)) us, flatten(list(ns ORDER BY k)) ns FROM u0 GROUP BY ALL),
+u AS MATERIALIZED (SELECT doc_id, i, us, list_transform(range(0, len(ns) + 1), lambda j: coalesce(list_sum(ns[1:j]), 0)) q FROM u1),
+r AS (SELECT doc_id, i, 0 c, 0::BIGINT st, len(list_filter(q, lambda z: z <= 128)) - 1 en FROM u UNION ALL
+ SELECT doc_id, i, c + 1, st2, len(list_filter(q, lambda z: z <= q[st2 + 1] + 128)) - 1 FROM (SELECT r.doc_id, r.i, c, q, CASE WHEN q[en + 2] - q[en] <= 128 THEN en - 1 ELSE en END st2 FROM r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i WHERE en < len(us)))
+SELECT r.doc_id, (row_number() OVER (PARTITION BY r.doc_id ORDER BY r.i, c) - 1)::INT AS chunk, (count(*) OVER (PARTITION BY r.doc_id))::INT AS n_chunks, array_to_string(us[st + 1:en], ' ') AS text FROM r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i""",
     "paragraph_chunks": f"""WITH p AS (SELECT doc_id, {_paras('text')} p FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, len(p) n, unnest(p) x, unnest(range(0, len(p))) i FROM p)
 SELECT doc_id, i AS chunk, n::BIGINT AS n_chunks, sha256({_squeeze('x')})[1:16] AS text_hash FROM e""",
     "legacy_record_parse": f"WITH {_RECORDS} SELECT file, line_no, dispatch, number, title, abstract, array_to_string(ipc, '|') AS ipc FROM q",
