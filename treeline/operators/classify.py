@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,9 @@ from pyspark.sql import functions as F
 
 from treeline.functions import textnorm, vectors
 from treeline.operators import chunking, embed, rerank, scheme, search
+from treeline.operators import index as index_builds
 from treeline.operators.search import Params
+from treeline.session import cut
 
 CHUNKINGS = ("mean", "max", "truncate")
 #: What a request may set; other names are left out silently.
@@ -42,11 +43,15 @@ class Index:
     model: str
 
 
-def build_index(nodes: DataFrame, spec: str = "hash:64") -> Index:
-    """Renders and embeds every entry of ``nodes`` that has a path; all its editions are kept apart."""
-    n, texts, paths = scheme.entries(nodes), scheme.texts(nodes), scheme.paths(nodes)
+def build_index(nodes: DataFrame, spec: str = "hash:64", old: DataFrame | None = None, old_spec: str | None = None) -> Index:
+    """Renders and embeds every entry of ``nodes`` that has a path; all its editions are kept apart.
+
+    ``old`` (version of the edition to build, lang, symbol, text_hash, vector) gives earlier vectors, as ``index.build`` takes them.
+    """
+    n, paths = scheme.entries(nodes), cut(scheme.paths(nodes))
+    texts = cut(scheme.render(n, paths).withColumn("text_hash", textnorm.text_hash(F.col("text"))))
     ed = F.concat_ws(":", "version", "lang").alias("ed")
-    v = embed.hash_embed(texts, [*scheme.EDITION, "symbol"], "text", int(spec.partition(":")[2] or 64)) if spec.startswith("hash") else embed.model_embed(texts, [*scheme.EDITION, "symbol"], "text", spec, queries=False)
+    v = index_builds.build(texts, old, spec, old_spec).drop("text_hash")
     e = n.join(paths, [*scheme.EDITION, "symbol"]).join(v, [*scheme.EDITION, "symbol"])
     details = n.join(texts, [*scheme.EDITION, "symbol"]).select(ed, "symbol", "title", "text", F.col("depth").cast("int").alias("depth"))
     return Index(e.select(F.col("node_id").alias("vec_id"), ed, "symbol", "path", "vector"), details, spec)
@@ -91,8 +96,11 @@ def classify(texts: DataFrame, index: Index, model: str, o: Options = Options())
     wide = rerank.candidates(p.top_k, o.candidates, o.rerank is not None)
     first = Params(p.level, wide, p.gap, p.dedupe, p.margin, p.roots, p.weights, p.beam)
     if o.chunking == "max":
-        many = q.select((F.col("query_id") * 100_000 + F.col("chunk")).alias("query_id"), "vector")
-        found = search.search(many, index.entries, first, reduce=lambda s: search.max_over_chunks(s.withColumn("query_id", F.floor(F.col("query_id") / 100_000))))
+        # Chunks have numbers of their own, which are joined back to their texts.
+        q = cut(q.withColumn("one", F.monotonically_increasing_id()))
+        owner = q.select("one", F.col("query_id").alias("text_id"))
+        whole = lambda s: search.max_over_chunks(s.withColumnRenamed("query_id", "one").join(owner, "one").select(F.col("text_id").alias("query_id"), "vec_id", "similarity"))
+        found = search.search(q.select(F.col("one").alias("query_id"), "vector"), index.entries, first, reduce=whole)
     else:
         found = search.search(q.select("query_id", "vector"), index.entries, first)
     found = found.join(index.details, ["ed", "symbol"])
@@ -134,9 +142,34 @@ def graph(found: DataFrame) -> DataFrame:
     return each.select("query_id", "ed", F.when(F.col("i") > 0, F.try_element_at("p", F.col("i"))).alias("parent"), "symbol", "rank").groupBy("query_id", "ed", "parent", "symbol").agg(F.min("rank").alias("rank"))
 
 
-@functools.lru_cache(maxsize=8)
+#: The most indexes that are kept; the one that was not used for longest is released first.
+MOST_CACHED = 8
+_CACHE: dict[tuple, Index] = {}
+
+
 def cached_index(spark: SparkSession, path: str, version: str, lang: str, spec: str) -> Index:
-    """The index of one edition of a nodes table, kept for later calls of the same session."""
-    nodes = spark.read.parquet(path).where((F.col("version") == version) & (F.upper("lang") == lang.upper()))
-    i = build_index(nodes, spec)
-    return Index(i.entries.persist(), i.details.persist(), i.model)
+    """The index of one edition of a nodes table, kept for later calls of the same application."""
+    key = (spark.sparkContext.applicationId, path, version, lang.upper(), spec)
+    found = _CACHE.pop(key, None)
+    if found is None:
+        nodes = spark.read.parquet(path).where((F.col("version") == version) & (F.upper("lang") == lang.upper()))
+        i = build_index(nodes, spec)
+        found = Index(i.entries.persist(), i.details.persist(), i.model)
+    _CACHE[key] = found
+    for other in [k for k in _CACHE if k[0] != key[0]]:
+        del _CACHE[other]
+    while len(_CACHE) > MOST_CACHED:
+        dropped = _CACHE.pop(next(iter(_CACHE)))
+        dropped.entries.unpersist()
+        dropped.details.unpersist()
+    return found
+
+
+def judge_candidates(texts: DataFrame, index: Index, model: str, reranker: str, candidates: int = 25, level: str = "subgroup") -> DataFrame:
+    """(query_id, ed, rank, symbol, text, score, logit): first-stage candidates of texts (query_id, text) with a reranker's logits.
+
+    The run that ``evaluate.fusion_results`` compares the fusions from, so that every pair is judged once.
+    """
+    found = classify(texts, index, model, Options(Params(level=level, top_k=candidates)))
+    pairs = found.join(texts.select("query_id", textnorm.normalize_query(F.col("text")).alias("query")), "query_id")
+    return rerank.model_logits(pairs, reranker).select("query_id", "ed", "rank", "symbol", "text", "score", "logit")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql.window import Window
 
 from treeline.functions import symbols
 from treeline.functions.symbols import LEVELS
+from treeline.operators import rerank
+from treeline.session import cut
 
 
 def _levels(level: str) -> tuple[str, ...]:
@@ -73,9 +76,13 @@ def table(r: DataFrame) -> str:
     return "\n".join([*lines, *(f"{x.level:<10}" + "".join(f"{x[c]:>9.1%}" for c in names) + f"{x.mrr:>8.3f}" for x in got)])
 
 
-def misses(cases: DataFrame, predictions: DataFrame, out: DataFrame, level: str, top_k: int = 10) -> DataFrame:
-    """(case_id, gold, predicted) of the cases without a hit at ``level``: distinct gold symbols in order, and the first five predictions."""
+def misses(cases: DataFrame, predictions: DataFrame, out: DataFrame, level: str, top_k: int = 10, first: int | None = None) -> DataFrame:
+    """(case_id, gold, predicted) of the cases without a hit at ``level``: distinct gold symbols in order, and the first five predictions.
+
+    ``first`` keeps so many, by case_id.
+    """
     lost = out.where((F.col("level") == level) & F.col("first_hit").isNull()).select("case_id")
+    lost = lost if first is None else lost.orderBy("case_id").limit(first)
     got = distinct_ranks(predictions.where(F.col("rank") <= top_k), level).where((F.col("level") == level) & (F.col("rank") <= 5))
     listed = got.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "symbol"))), lambda x: x["symbol"]), ",").alias("predicted"))
     gold = cases.select("case_id", F.array_join(F.array_sort(F.array_distinct(F.transform("ipc", lambda s: symbols.truncate(s, level)))), ",").alias("gold"))
@@ -98,3 +105,19 @@ def stratified_sample(rows: DataFrame, id_col: str, stratum: str, size: int, see
     a = min(n["a"], size - b)
     pick = lambda flag, k: r.where(F.col("_s") if flag else ~F.col("_s")).orderBy("_h", id_col).limit(k)
     return pick(True, a).unionByName(pick(False, b)).drop("_h", "_s")
+
+
+def measure(cases: DataFrame, classify: Callable[[DataFrame], DataFrame], level: str = "subgroup", top_k: int = 10) -> DataFrame:
+    """``rows`` of any classifier: a function from texts (query_id, text) to predictions (query_id, rank, symbol). ``cases`` has case_id, text, ipc."""
+    found = classify(cases.select(F.col("case_id").alias("query_id"), "text"))
+    return rows(outcomes(cases, found.select(F.col("query_id").alias("case_id"), "rank", "symbol"), level, top_k), top_k=top_k)
+
+
+def fusion_results(judged: DataFrame, cases: DataFrame, fusions: tuple[str, ...] = ("first", *rerank.FUSIONS), level: str = "subgroup", top_k: int = 10) -> DataFrame:
+    """``rows`` with ``fusion``, for every way of joining first scores and verdicts, from one judged run.
+
+    ``judged`` has case_id, rank, symbol, score, logit; cases (case_id, ipc) are found by their id, so that equal texts count one by one.
+    """
+    judged = cut(judged)
+    each = [rerank.fused(judged, ["case_id"], f, top_k).select("case_id", "rank", "symbol", F.lit(f).alias("fusion")) for f in fusions]
+    return reduce(DataFrame.unionByName, [rows(outcomes(cases, p.drop("fusion"), level, top_k), top_k=top_k).withColumn("fusion", F.lit(f)) for f, p in zip(fusions, each)])

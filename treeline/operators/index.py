@@ -44,12 +44,17 @@ def check_model(new: tuple[str, int, str], old: tuple[str, int, str]) -> None:
         raise ValueError(f"an index of {old} can't be reused for {new}")
 
 
-def build(texts: DataFrame, old: DataFrame | None, spec: str) -> DataFrame:
+def build(texts: DataFrame, old: DataFrame | None, spec: str, old_spec: str | None = None) -> DataFrame:
     """(version, lang, symbol, text_hash, vector): earlier vectors where symbol and text are the same, computed ones elsewhere.
 
-    ``texts`` has version, lang, symbol, text, text_hash. Only what is missing goes through the embedder.
+    ``texts`` has version, lang, symbol, text, text_hash. Only what is missing goes through the embedder. Earlier vectors must
+    be of the same model, dimension and language; they are found by the language, and the others are checked.
     """
-    if old is None:
+    if old is not None:
+        size = old.where("vector is not null").select(F.size("vector").alias("n")).limit(1).collect()
+        dim = embed.get_embedder(spec).dim
+        check_model((spec, dim, ""), (old_spec or spec, size[0].n if size else dim, ""))
+    else:
         old = texts.select(*KEY, "text_hash", F.lit(None).cast("array<double>").alias("vector")).limit(0)
     hit = reuse(texts.select(*KEY, "text_hash", "text"), old)
     have = hit.where("vector is not null").select(*KEY, "text_hash", "vector")
@@ -77,7 +82,7 @@ def against_previous(index: DataFrame, editions: DataFrame) -> DataFrame:
     Both sides join on the edition, of which there are few; rows without a later edition go.
     """
     later = previous_edition(editions).where("previous is not null").select(F.col("version").alias("_next"), "lang", F.col("previous").alias("version"))
-    return index.join(F.broadcast(later), ["version", "lang"]).withColumn("version", F.col("_next")).drop("_next")
+    return index.join(later, ["version", "lang"]).withColumn("version", F.col("_next")).drop("_next")
 
 
 def mismatches(index: DataFrame, scheme: DataFrame) -> DataFrame:

@@ -145,11 +145,10 @@ _OUT = "SELECT query_id, ed, rank::INT AS rank, symbol, round(score, 6) AS score
 # A fold over each list of at most top_k rows: a row stays unless an accepted one is related to it.
 _DEDUPE = """,
 li AS (SELECT query_id, ed, list({'rank': rank, 'symbol': symbol, 'path': path, 'score': score} ORDER BY rank) a FROM ranked GROUP BY ALL),
-fo AS (SELECT query_id, ed, list_reduce(a[1:1] || a, lambda acc, y: acc) first, a FROM li),
 kept AS (SELECT query_id, ed, a, 1 i, [a[1]] acc FROM li UNION ALL
  SELECT query_id, ed, a, i + 1, CASE WHEN len(list_filter(acc, lambda y: list_contains(y.path, a[i + 1].symbol) OR list_contains(a[i + 1].path, y.symbol))) > 0 THEN acc ELSE list_append(acc, a[i + 1]) END FROM kept WHERE i < len(a)),
 done AS (SELECT query_id, ed, unnest(acc) y FROM kept WHERE i = len(a)),
-dd AS (SELECT query_id, ed, y.rank rank, y.symbol symbol, y.score score FROM done)""".replace("fo AS (SELECT query_id, ed, list_reduce(a[1:1] || a, lambda acc, y: acc) first, a FROM li),\n", "")
+dd AS (SELECT query_id, ed, y.rank rank, y.symbol symbol, y.score score FROM done)"""
 _AUTO = f""",
 roots AS (SELECT query_id, ed, symbol, row_number() OVER (PARTITION BY query_id, ed ORDER BY round(bb, 9) DESC NULLS LAST, symbol) rr FROM front QUALIFY rr <= 5),
 bc AS (SELECT query_id, ed, parent symbol, symbol child, bb cbb FROM sc WHERE parent IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, ed, parent ORDER BY round(bb, 9) DESC NULLS LAST, symbol) = 1),

@@ -7,8 +7,12 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.sources import fetch
+
 #: How an index file is named: prefix, version, language, model slug.
 NAME = r"^(?:.*/)?ipc_(\d{8})_([A-Za-z]{2})_(.+)\.parquet$"
+#: Where versions are listed, a fixed value.
+LISTING = "https://www.wipo.int/ipc/itos4ipc/ITSupport_and_download_area/"
 SCHEME_NAME = r"_scheme_(\d{8})\.xml$"
 
 
@@ -25,13 +29,28 @@ def versions_in_html(pages: DataFrame, html: str) -> DataFrame:
 
 def local_versions(spark: SparkSession, folder: str) -> DataFrame:
     """(version) of the scheme files in a folder; empty where there is none."""
-    return _names(spark, folder, "*_scheme_*.xml").select(F.regexp_extract("path", SCHEME_NAME, 1).alias("version")).where("version <> ''").distinct()
+    return versions_named(_names(spark, folder, "*_scheme_*.xml"))
+
+
+def remote_versions(spark: SparkSession, get: fetch.Get | None = None, url: str = LISTING) -> DataFrame:
+    """(version) of the versions that the published listing names."""
+    page = fetch.download(url, get=get).decode("utf-8", "replace")
+    return versions_in_html(spark.createDataFrame([(page,)], "html string"), "html")
+
+
+def versions_named(files: DataFrame) -> DataFrame:
+    """(version) of the names (path) that are scheme files'."""
+    return files.select(F.regexp_extract("path", SCHEME_NAME, 1).alias("version")).where("version <> ''").distinct()
 
 
 def available_indexes(spark: SparkSession, folder: str) -> DataFrame:
     """(version, lang, model, path) of the index files in a folder, by their names; other files are left out."""
-    n = _names(spark, folder, "ipc_*.parquet").where(F.col("path").rlike(NAME))
-    return n.select(F.regexp_extract("path", NAME, 1).alias("version"), F.upper(F.regexp_extract("path", NAME, 2)).alias("lang"), F.regexp_extract("path", NAME, 3).alias("model"), "path")
+    return indexes_named(_names(spark, folder, "ipc_*.parquet"))
+
+
+def indexes_named(files: DataFrame) -> DataFrame:
+    """(version, lang, model, path) of the names (path) that are index files'."""
+    return files.where(F.col("path").rlike(NAME)).select(F.regexp_extract("path", NAME, 1).alias("version"), F.upper(F.regexp_extract("path", NAME, 2)).alias("lang"), F.regexp_extract("path", NAME, 3).alias("model"), "path")
 
 
 def _names(spark: SparkSession, folder: str, pattern: str) -> DataFrame:

@@ -10,23 +10,27 @@ from collections.abc import Callable
 from pathlib import Path
 
 
-def download(url: str, attempts: int = 3, timeout: float = 120, get: Callable[[str, float], bytes] | None = None) -> bytes:
-    """The bytes at an address, tried several times."""
+#: What fetches an address within some seconds; tests and other networks bring their own.
+Get = Callable[[str, float], bytes]
+
 
-    def default(u: str, t: float) -> bytes:
-        with urllib.request.urlopen(urllib.request.Request(u, headers={"Accept-Encoding": "identity"}), timeout=t) as r:
-            return r.read()
+def get(url: str, timeout: float) -> bytes:
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"Accept-Encoding": "identity"}), timeout=timeout) as r:
+        return r.read()
 
+
+def download(url: str, attempts: int = 3, timeout: float = 120, get: Get | None = None) -> bytes:
+    """The bytes at an address, tried several times."""
     for n in range(attempts):
         try:
-            return (get or default)(url, timeout)
+            return (get or globals()["get"])(url, timeout)
         except OSError as e:
             last = e
             time.sleep(min(2**n, 60) if get is None else 0)
     raise RuntimeError(f"{url} could not be fetched in {attempts} attempts") from last
 
 
-def archive(url: str, folder: str, patterns: tuple[str, ...], suffixes: tuple[str, ...] = (".xml", ".txt"), force: bool = False, get: Callable[[str, float], bytes] | None = None) -> list[str]:
+def archive(url: str, folder: str, patterns: tuple[str, ...], suffixes: tuple[str, ...] = (".xml", ".txt"), force: bool = False, get: Get | None = None) -> list[str]:
     """The files of an archive with the first of the suffixes that it holds, by path; from the folder if a pattern matches there."""
     root = Path(folder)
     if not force:

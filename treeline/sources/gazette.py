@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,18 @@ from pyspark.sql import functions as F
 
 from treeline.functions import symbols, textnorm
 from treeline.operators import running
+from treeline.session import cut
+from treeline.sources import fetch
 
 # A field line, the header line, the fields that are kept, and the dispatches that print an application.
 FIELD = r"^\(([A-Za-z0-9]{2})\)\s?(.*)$"
 HEADER = r"^\s*N[o°º]\s*(\d+)\s+de\s"
 KEPT = {"21": "number", "51": "classes", "54": "title", "57": "abstract"}
 DISPATCHES = ("1.3", "3.1")
+# Where issues are published, what their files are called, and the tag that gives an issue's number.
+ARCHIVE = "https://revistas.inpi.gov.br/txt/P{issue}.zip"
+FILES = ("Patente_{issue}_*.xml", "P{issue}.txt")
+ISSUE_TAG = r"<revista\b[^>]*\bnumero\s*=\s*(['\"])(.*?)\1"
 
 
 def decode_bytes(content: Column) -> Column:
@@ -25,7 +32,7 @@ def decode_bytes(content: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, line) of legacy text issues; a file is decoded whole, so that its encoding is one."""
     f = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), decode_bytes(F.col("content")).alias("text"))
     return f.select("file", F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
@@ -62,13 +69,21 @@ def records_from_lines(lines: DataFrame, dispatches: tuple[str, ...] | None = DI
     return r.select("file", "line_no", "dispatch", textnorm.clean(F.col("number")).alias("number"), title.alias("title"), textnorm.strip_repeated_title(textnorm.clean(F.col("abstract")), title).alias("abstract"), symbols.extract(F.col("classes")).alias("ipc"))
 
 
-def records_from_xml(spark: SparkSession, path: str, dispatches: tuple[str, ...] | None = DISPATCHES) -> DataFrame:
-    """(issue, dispatch, number, title, abstract, ipc) of XML issues; the issue is the number in the file's name, as the files are named.
+def records_from_xml(spark: SparkSession, path: str | list[str], dispatches: tuple[str, ...] | None = DISPATCHES) -> DataFrame:
+    """(issue, dispatch, number, title, abstract, ipc) of XML issues, read in pieces that end with a dispatch."""
+    return records_from_pieces(spark.read.text(path, lineSep="</despacho>").select(F.col("_metadata.file_path").alias("file"), "value"), dispatches)
 
-    One row a ``despacho`` element; elements without an application go. An abstract is the text of ``resumo``, else that of the
-    first element anywhere in the application with inid 57; symbols are read wherever they stand in it.
+
+def records_from_pieces(pieces: DataFrame, dispatches: tuple[str, ...] | None = DISPATCHES) -> DataFrame:
+    """(issue, dispatch, number, title, abstract, ipc) of pieces (file, value) of XML issues, each up to the end of a dispatch.
+
+    The issue is the number that the document gives itself, in the piece with its first tag, else that in the file's name. One row a
+    ``despacho`` element; elements without an application go. An abstract is the text of ``resumo``, else that of the first element
+    anywhere in the application with inid 57; symbols are read wherever they stand in it.
     """
-    d = spark.read.text(path, lineSep="</despacho>").select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).alias("issue"), "value")
+    own = F.regexp_extract("value", ISSUE_TAG, 2)
+    heads = pieces.where(F.col("value").rlike(ISSUE_TAG)).groupBy("file").agg(F.max(own).alias("own"))
+    d = pieces.join(heads, "file", "left").select(F.coalesce("own", F.regexp_extract(F.substring_index("file", "/", -1), r"(\d+)", 1)).alias("issue"), "value")
     d = d.mapInArrow(_applications, "issue string, dispatch string, number string, title string, abstract string, inid57 string, ipc array<string>")
     if dispatches:
         d = d.where(F.col("dispatch").isin(*dispatches))
@@ -107,3 +122,24 @@ def cases(records: DataFrame, require_abstract: bool = False) -> DataFrame:
         F.array(F.when(abstract.isNotNull(), "abstract").otherwise("title-only"), F.concat(F.lit("despacho-"), F.col("dispatch"))).alias("tags"),
     )
     return c.where(F.col("text").isNotNull() & (F.size("ipc") > 0) & (F.lit(not require_abstract) | F.col("abstract").isNotNull()))
+
+
+def fetch_issue(issue: int | str, root: str, force: bool = False, get=None) -> list[str]:
+    """The files of an issue under ``root``/rpi, fetched unless they are there; XML is preferred to text."""
+    return fetch.archive(ARCHIVE.format(issue=issue), f"{root}/rpi", tuple(p.format(issue=issue) for p in FILES), force=force, get=get)
+
+
+def read_records(spark: SparkSession, paths: str | list[str], dispatches: tuple[str, ...] | None = DISPATCHES) -> DataFrame:
+    """(issue, dispatch, number, title, abstract, ipc) of issues in both forms: names that end in .txt are text, all others XML."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    text = [p for p in paths if p.lower().endswith(".txt")]
+    xml = [p for p in paths if p not in text]
+    parts = []
+    if xml:
+        parts.append(records_from_xml(spark, xml, dispatches))
+    if text:
+        lines = cut(read_lines(spark, text))
+        parts.append(records_from_lines(lines, dispatches).join(issues(lines), "file").select("issue", "dispatch", "number", "title", "abstract", "ipc"))
+    if not parts:
+        raise ValueError("no files of an issue are named")
+    return reduce(DataFrame.unionByName, parts)

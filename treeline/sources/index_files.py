@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions import vectors
+from treeline.operators import evaluate
 
 # The columns of a scheme table and the schema of case files.
 SCHEME_COLUMNS = ("symbol", "level", "depth", "parent", "title", "heading", "path")
@@ -93,17 +95,24 @@ def pack_vectors(index: DataFrame, path: str, encoding: str = "int8") -> dict:
     """
     if encoding not in ("int8", "float32"):
         raise ValueError(f"encoding must be int8 or float32, not {encoding}")
-    rows = index.select("pos", vectors.int8_scale(F.col("vector")).alias("scale"), "vector").withColumn("q", vectors.quantize(F.col("vector"), F.col("scale")))
-    scales, body, dim, n = bytearray(), bytearray(), 0, 0
-    for r in rows.orderBy("pos").toLocalIterator():
-        dim, n = len(r.vector), n + 1
-        if encoding == "int8":
-            scales += np.float32(r.scale).astype("<f4").tobytes()
-            body += np.array(r.q, np.int8).tobytes()
-        else:
-            body += np.array(r.vector, "<f4").tobytes()
-    Path(path).write_bytes(bytes(scales + body))
-    return {"rows": n, "dim": dim, "encoding": encoding, "bytes": len(scales) + len(body)}
+    v = F.col("vector")
+    rows = index.select("pos", vectors.int8_scale(v).alias("scale"), *([vectors.quantize(v, vectors.int8_scale(v)).alias("x")] if encoding == "int8" else [v.alias("x")]))
+    n, dim = index.count(), 0
+    head = 4 * n if encoding == "int8" else 0
+    with open(path, "wb") as f:
+        at = 0
+        rest = rows.orderBy("pos").toLocalIterator(prefetchPartitions=True)
+        # Some thousand rows at a time are held, however long the file is.
+        while part := list(islice(rest, 4096)):
+            dim = len(part[0].x)
+            if encoding == "int8":
+                f.seek(4 * at)
+                f.write(np.array([r.scale for r in part], "<f4").tobytes())
+            body = np.array([r.x for r in part], np.int8 if encoding == "int8" else "<f4")
+            f.seek(head + at * dim * body.itemsize)
+            f.write(body.tobytes())
+            at += len(part)
+    return {"rows": n, "dim": dim, "encoding": encoding, "bytes": Path(path).stat().st_size}
 
 
 def unpack_vectors(content: bytes, meta: dict) -> np.ndarray:
@@ -146,9 +155,31 @@ def write_cases(cases: DataFrame, path: str) -> None:
     cases.select(*[f.split(" ")[0] for f in CASES.split(", ")]).write.mode("overwrite").json(path)
 
 
-def read_cases(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Cases of one or many files of JSON lines; blank lines are skipped, a missing language is pt."""
-    return spark.read.schema(CASES).json(paths).where("id is not null").withColumn("lang", F.coalesce("lang", F.lit("pt"))).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+def read_cases(spark: SparkSession, paths: str | list[str], sample: int | None = None, seed: int = 0, stratify: bool = True) -> DataFrame:
+    """Cases of one or many files of JSON lines; blank lines are skipped, a missing language is pt.
+
+    ``sample`` draws so many cases by a hash of seed and id, half of them with an abstract as far as there are enough, unless told otherwise.
+    """
+    cases = _cases(spark, paths)
+    if sample is None:
+        return cases
+    if stratify:
+        return evaluate.stratified_sample(cases.withColumn("_abstract", F.col("abstract").isNotNull()), "id", "_abstract", sample, seed).drop("_abstract")
+    return cases.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "id")), "id").limit(sample)
+
+
+def first_cases(spark: SparkSession, paths: str | list[str], n: int) -> DataFrame:
+    """The first ``n`` cases, by the files' names and their places in them."""
+    at = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")).where("trim(value) <> ''").orderBy("f", "i").limit(n)
+    return _complete(at.select(F.from_json("value", CASES).alias("c")).select("c.*"))
+
+
+def _cases(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return _complete(spark.read.schema(CASES).json(paths))
+
+
+def _complete(cases: DataFrame) -> DataFrame:
+    return cases.where("id is not null").withColumn("lang", F.coalesce("lang", F.lit("pt"))).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -189,4 +220,18 @@ def export_demo(editions: dict[str, tuple[DataFrame, DataFrame]], out: str, mode
     if examples is not None:
         (root / "examples.json").write_text(json.dumps([r.asDict() for r in examples.toLocalIterator()], ensure_ascii=False), encoding="utf-8")
     (root / "manifest.json").write_text(json.dumps(manifest), encoding="utf-8")
+    listed = "\n".join(f"* {i['lang']}: {i['rows']} entries, {i['bytes']} bytes of vectors" for i in manifest["indexes"])
+    (root / "README.md").write_text(f"# Search demo\n\nVectors of {model}, {encoding}, for a page that searches in the browser.\n\n{listed}\n", encoding="utf-8")
     return manifest
+
+
+def manifest_entry(manifest: dict, lang: str) -> dict:
+    """A language's entry of a manifest, in either case, else the first one."""
+    entries = manifest["indexes"]
+    return next((i for i in entries if i["lang"].upper() == lang.upper()), entries[0])
+
+
+def web_model(model: str, twin: str = "Xenova") -> str | None:
+    """The converted twin that a browser loads in place of a sentence-transformers model; none of other models."""
+    backend, _, name = model.partition(":")
+    return f"{twin}/{name.rsplit('/', 1)[-1]}" if backend == "st" and name else None
