@@ -151,7 +151,13 @@ class CrossEncoderReranker:
             self.model.model.half()
 
     def score(self, query: str, texts: list[str]) -> list[float]:
-        return [float(x) for x in self.model.predict([(query, t) for t in texts], batch_size=self.batch, activation_fn=self.torch.nn.Identity())]
+        pairs, raw = [(query, t) for t in texts], self.torch.nn.Identity()
+        try:
+            out = self.model.predict(pairs, batch_size=self.batch, activation_fn=raw)
+        except TypeError:
+            # Older versions of the library have another name for it.
+            out = self.model.predict(pairs, batch_size=self.batch, activation_fct=raw)
+        return [float(x) for x in out]
 
 
 EMBEDDERS: dict[str, Callable[[str], Embedder]] = {"hash": lambda m: HashEmbedder(int(m or 64)), "st": SentenceTransformerEmbedder, "ollama": HttpEmbedder}

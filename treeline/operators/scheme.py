@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import symbols, textnorm
 from treeline.operators import hierarchy, running
+from treeline.session import cut
 
 EDITION = ["version", "lang"]
 
@@ -98,7 +99,20 @@ def postorder(placed: DataFrame) -> DataFrame:
     return placed.withColumn("postorder", F.col("lft") + F.col("n_descendants") - F.col("depth"))
 
 
+def walk_up(n: DataFrame, start: DataFrame) -> DataFrame:
+    """(version, lang, symbol, path) of some entries alone, one step up a round: for few rows, where ``paths`` would place all. None on or below closed chains."""
+    state = cut(start.select(*EDITION, "symbol", F.col("parent").alias("up"), F.array("symbol").alias("path")))
+    above = n.select(*EDITION, F.col("symbol").alias("up"), F.col("parent").alias("next"), F.lit(True).alias("known"))
+    while not state.where("up is not null").isEmpty():
+        moved = state.where("up is not null").join(above, [*EDITION, "up"], "left").where("not array_contains(path, up)")
+        moved = moved.select(*EDITION, "symbol", F.col("next").alias("up"), F.when(F.col("known"), F.concat(F.array("up"), "path")).otherwise(F.col("path")).alias("path"))
+        state = cut(state.where("up is null").unionByName(moved))
+    return state.drop("up")
+
+
 def show(nodes: DataFrame, symbol: str) -> DataFrame:
-    """The entries of a symbol in any accepted form, in all editions, with path and text."""
-    n = entries(nodes)
-    return n.where(F.col("symbol") == symbols.normalize(F.lit(symbol))).join(texts(nodes), [*EDITION, "symbol"]).join(paths(nodes), [*EDITION, "symbol"])
+    """The entries of a symbol in any accepted form, in all editions, with path and text; only what is on their paths is rendered."""
+    n = cut(entries(nodes))
+    found = n.where(F.col("symbol") == symbols.normalize(F.lit(symbol)))
+    p = walk_up(n, found)
+    return found.join(render(n, p), [*EDITION, "symbol"]).join(p, [*EDITION, "symbol"])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from treeline.plans import evals, records_and_trees, schemes, texts, trees
+from treeline.plans import evals, records_and_trees, roundtrips, schemes, texts, trees
 
 FLAGSHIP = "search_default"
-QUERIES = records_and_trees.QUERIES | trees.QUERIES | schemes.QUERIES | texts.QUERIES | evals.QUERIES
-SQL = records_and_trees.SQL | trees.SQL | schemes.SQL | texts.SQL | evals.SQL
+QUERIES = records_and_trees.QUERIES | trees.QUERIES | schemes.QUERIES | texts.QUERIES | evals.QUERIES | roundtrips.QUERIES
+SQL = records_and_trees.SQL | trees.SQL | schemes.SQL | texts.SQL | evals.SQL | roundtrips.SQL
