@@ -36,6 +36,31 @@ def test_prose():
     assert prose.sentences(SOURCE.replace("\n", "\r\n")) == prose.sentences(SOURCE)
 
 
+def test_short_sentences_and_long_words():
+    assert prose.sentences("I run. You? 12. Fig 3\n\nFine!") == [["i", "run"], ["you"], ["fine"]]
+    assert prose.sentences("\\label{x} ab") == []
+    long = "a" * 70
+    assert set(reading.grams(long + "bcd")) != set(reading.grams(long + "xyz"))
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "Some words stand here. " * (1 + i)) for i in range(20)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "r", 1 + i % 4) for i in range(20)], "doc_id long, rater string, level int")
+    all_docs, ratings = reading.rated_sample(docs, labels)
+    assert len(all_docs) == 20 and ratings.shape == (20, 4)
+    assert len(reading.rated_sample(docs, labels, 5)[0]) == 5
+    few, _ = reading.rated_sample(docs, labels, 20, 100)
+    assert 0 < sum(len(s) for d in few for s in d) <= 100
+
+
+def test_fit_in_tasks_is_the_fit(spark):
+    rng = np.random.default_rng(1)
+    docs = [[words(rng, i % 4) for _ in range(5)] for i in range(24)]
+    target = np.eye(4)[np.arange(24) % 4]
+    a, b = reading.fit(docs, target), reading.fit(docs, target, reading.in_tasks(spark, docs, target))
+    assert np.allclose(a[0].chars, b[0].chars) and np.allclose(a[1].weights, b[1].weights) and set(a[0].words) == set(b[0].words)
+
+
 def words(rng, level):
     pool = [[f"{a}{b}" for a in "bcd" for b in ("at", "og", "un")], [f"{a}or{b}" for a in ("m", "s") for b in ("ning", "den", "ter")], [f"re{a}or" for a in ("act", "sist", "fract")], [f"electro{a}ization" for a in ("polar", "oxid", "crystal")]]
     return [str(rng.choice(pool[min(3, max(0, level + d))])) for d in rng.choice([-1, 0, 0, 0, 1], size=rng.integers(4, 8 + 2 * level))]

@@ -30,8 +30,9 @@ _COMMAND = re.compile(r"\\[A-Za-z@]+\*?|\\.|[{}~]")
 _SPLIT = re.compile(r"(?<=[.!?])[\s\")\]»”]+|\n\s*\n")
 _WORDS = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _JOINT = re.compile(r"[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff]")
-#: Words that a stretch of text must have to be a sentence.
+#: Words that a stretch of text must have to be a sentence, unless it ends as one.
 LEAST_WORDS = 3
+_ENDED = re.compile(r"[^\W\d_][\"'’)\]»”]*[.!?][\s\"'’)\]»”]*\Z")
 
 
 def _accent(m: re.Match) -> str:
@@ -69,7 +70,10 @@ def prose(text: str | None) -> str:
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The lower-case words of each printed sentence."""
+    """The lower-case words of each printed sentence.
+
+    A stretch of fewer words than ``LEAST_WORDS`` is one if a word and a full stop, question or exclamation mark end it; else it is a rest of markup.
+    """
     p = prose(text).lower()
     if not p:
         return []
@@ -78,6 +82,6 @@ def sentences(text: str | None) -> list[list[str]]:
     out = []
     for s in _SPLIT.split(p):
         w = _WORDS.findall(s)
-        if len(w) >= LEAST_WORDS:
+        if len(w) >= LEAST_WORDS or w and _ENDED.search(s):
             out.append(w)
     return out

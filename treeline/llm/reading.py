@@ -6,19 +6,23 @@ document's sentence distributions into its level. Both are fitted on a bounded s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm.prose import sentences
+from treeline.session import cut
 
 LEVELS = (1, 2, 3, 4)
 #: The most rated documents that the models are fitted on, the first by a hash of their id.
 MOST_RATED = 2000
+#: The most words of them, in all; a document that would exceed it is left out of the sample.
+MOST_RATED_WORDS = 4_000_000
 #: The most word types that the word model keeps, the most frequent ones; others are judged by their characters.
 MOST_WORDS = 30_000
 BUCKETS = 1 << 14
@@ -39,7 +43,7 @@ def _hash(s: str) -> int:
 
 def grams(word: str) -> list[int]:
     """Buckets of a word's character sequences of three to five, with its ends."""
-    w = f"^{word[:64]}$"
+    w = f"^{word}$"
     return [_hash(w[i : i + n]) for n in (3, 4, 5) for i in range(len(w) - n + 1)] or [_hash(w)]
 
 
@@ -173,19 +177,49 @@ class DocumentModel:
         return _softmax(z @ self.weights)
 
 
-def fit(docs: list[list[list[str]]], target: np.ndarray, folds: int = 3) -> tuple[SentenceModel, DocumentModel]:
-    """Both models. The second sees the first's judgement of documents that it was not fitted on, so that it is calibrated."""
-    fold = np.arange(len(docs)) % folds
-    x = None
-    if len(docs) >= 4 * folds:
-        for f in range(folds):
-            out = np.flatnonzero(fold == f)
-            m = SentenceModel.fit([docs[i] for i in np.flatnonzero(fold != f)], target[fold != f])
-            got = m.reader().features([docs[i] for i in out])
-            x = np.zeros((len(docs), got.shape[1])) if x is None else x
-            x[out] = got
-    model = SentenceModel.fit(docs, target)
-    return model, DocumentModel.fit(model.reader().features(docs) if x is None else x, target)
+FOLDS = 3
+
+
+def fit_part(docs: list[list[list[str]]], target: np.ndarray, part: int) -> SentenceModel | np.ndarray:
+    """One of the fits: for parts below ``FOLDS`` the features of every so-manieth document by a model of the others, else the model of all."""
+    if part == FOLDS:
+        return SentenceModel.fit(docs, target)
+    held = np.arange(len(docs)) % FOLDS == part
+    model = SentenceModel.fit([d for d, h in zip(docs, held) if not h], target[~held])
+    return model.reader().features([d for d, h in zip(docs, held) if h])
+
+
+def fit(docs: list[list[list[str]]], target: np.ndarray, parts: Callable[[list[int]], list] | None = None) -> tuple[SentenceModel, DocumentModel]:
+    """Both models. The second sees the first's judgement of documents that it was not fitted on, so that it is calibrated.
+
+    ``parts`` makes the fits of the given numbers, for example in tasks.
+    """
+    folds = list(range(FOLDS)) if len(docs) >= 4 * FOLDS else []
+    *features, model = parts([*folds, FOLDS]) if parts else [fit_part(docs, target, p) for p in (*folds, FOLDS)]
+    if not folds:
+        return model, DocumentModel.fit(model.reader().features(docs), target)
+    x = np.zeros((len(docs), features[0].shape[1]))
+    for f, rows in zip(folds, features):
+        x[np.arange(len(docs)) % FOLDS == f] = rows
+    return model, DocumentModel.fit(x, target)
+
+
+def in_tasks(spark: SparkSession, docs: list[list[list[str]]], target: np.ndarray) -> Callable[[list[int]], list]:
+    """Makes the fits side by side, a task each, of a sample that is bounded."""
+    shared = spark.sparkContext.broadcast((docs, target))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column(0).to_pylist():
+                made = pickle.dumps(fit_part(*shared.value, part))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([made], pa.binary())], names=["part", "made"])
+
+    def parts(numbers: list[int]) -> list:
+        wanted = spark.range(0, FOLDS + 1, 1, FOLDS + 1).where(F.col("id").isin(numbers))
+        got = {r.part: pickle.loads(r.made) for r in wanted.mapInArrow(run, "part long, made binary").collect()}
+        return [got[n] for n in numbers]
+
+    return parts
 
 
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +228,23 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "sentences"])
 
 
-def rated_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_RATED) -> tuple[list[list[list[str]]], np.ndarray]:
-    """(sentences, ratings) of at most ``most`` rated documents with prose; several ratings of one document share its weight.
+def rated_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_RATED, most_words: int = MOST_RATED_WORDS) -> tuple[list[list[list[str]]], np.ndarray]:
+    """(sentences, ratings) of at most ``most`` rated documents with prose, of at most ``most_words`` words in all, the first by hash.
 
-    Ratings outside the levels and of unknown documents do not count.
+    Several ratings of one document share its weight, and of rows with one id only one counts. Ratings outside the levels and of
+    unknown documents do not count.
     """
     votes = labels.where(F.col("level").isin(*LEVELS)).groupBy("doc_id").agg(*[F.count_if(F.col("level") == v).alias(f"n{v}") for v in LEVELS])
     chosen = F.broadcast(votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
-    words = texts.select("doc_id", "text").mapInArrow(_sentences, "doc_id long, sentences array<string>").where("size(sentences) > 0")
-    got = words.join(chosen, "doc_id").orderBy("doc_id").collect()
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    words = cut(texts.mapInArrow(_sentences, "doc_id long, sentences array<string>").where("size(sentences) > 0"))
+    length = F.aggregate("sentences", F.lit(0).cast("long"), lambda n, s: n + F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
+    kept, total = [], 0
+    for r in words.select("doc_id", length.alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + r.n <= most_words:
+            kept.append(r.doc_id)
+            total += r.n
+    got = words.where(F.col("doc_id").isin(kept)).join(chosen, "doc_id").orderBy("doc_id").collect()
     ratings = np.array([[r[f"n{v}"] for v in LEVELS] for r in got], float).reshape(len(got), len(LEVELS))
     return [[s.split(" ") for s in r.sentences] for r in got], ratings / np.maximum(ratings.sum(axis=1, keepdims=True), 1)
 
@@ -217,7 +258,8 @@ def reading_levels(docs: DataFrame, labels: DataFrame, most: int = MOST_RATED) -
     schema = "doc_id long, level int, difficulty double, sentences int"
     if not sample:
         return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(sample, ratings))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fit(sample, ratings, in_tasks(spark, sample, ratings)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sentence_model, document_model = shared.value
