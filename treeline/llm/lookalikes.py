@@ -122,6 +122,16 @@ def same_look_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, ["key", "class"]).where("key_a < key_b and ha <> hb").select("key_a", "key_b")
 
 
+def class_sizes(rows: DataFrame) -> DataFrame:
+    """(key, class, rows, texts, member) of the classes of one key that hold different texts: how many rows and texts, and the canonical member.
+
+    One row a class, however many rows look alike, where ``same_look_pairs`` has one for each two of them.
+    """
+    c = classes(repeated(rows)).select("key", "class", "h", "member")
+    per = c.groupBy("key", "class", "h").agg(F.count("*").alias("n"), F.first("member").alias("member"))
+    return per.groupBy("key", "class").agg(F.sum("n").alias("rows"), F.count("*").alias("texts"), F.first("member").alias("member")).where("texts > 1")
+
+
 @F.pandas_udf(T.StringType())
 def _compose(s: pd.Series) -> pd.Series:
     # What has no glyph goes, and marks join their letters.

@@ -22,6 +22,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.unionByName(lookalikes.same_look_pairs(_abstracts(spark, sf_dir)).select(F.lit("eval_cases").alias("src"), "key_a", "key_b"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of texts that look the same: how many rows and different texts, and their canonical one."""
+    nodes = lookalikes.class_sizes(_titles(spark, sf_dir)).select(F.lit("nodes").alias("src"), F.concat_ws(":", "key.lang", "key.symbol").alias("key"), "rows", "texts", "member")
+    return nodes.unionByName(lookalikes.class_sizes(_abstracts(spark, sf_dir)).select(F.lit("eval_cases").alias("src"), "key", "rows", "texts", "member"))
+
+
 def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = lookalikes.consistent(_titles(spark, sf_dir)).select(F.lit("nodes").alias("src"), F.col("id"), "text")
     return nodes.unionByName(lookalikes.consistent(_abstracts(spark, sf_dir)).select(F.lit("eval_cases").alias("src"), "id", "text"))
@@ -86,9 +92,30 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours, p6_ids, p6_places, p6_decoded, p7_packed, p7_fill, p7_faults, p8_found, p8_profile,
+    p1_found, p1_classes, p1_texts, p4_found, p4_texts, p5_found, p5_neighbours, p6_ids, p6_places, p6_decoded, p7_packed, p7_fill, p7_faults, p8_found, p8_profile,
 )}
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _plain(c: str) -> str:
+    """A text with look-alikes mapped, in SQL."""
+    out = f"translate({c}, {_quoted(lookalikes._FROM)}, {_quoted(lookalikes._TO)})"
+    for joined, parts in lookalikes._JOINED:
+        out = f"replace({out}, '{joined}', '{parts}')"
+    return out
+
+
+# What has no glyph goes, and marks join their letters.
+_LOOK = r"nfc_normalize(regexp_replace({c}, '[\x00-\x08\x0e-\x1f\x7f-\x84\x{{86}}-\x{{9f}}\p{{Cf}}\x{{FE00}}-\x{{FE0F}}\x{{34F}}]', '', 'g'))"
+_SEEN = f"""t AS (SELECT 'nodes' src, lang || ':' || symbol AS key, node_id id, title AS text FROM nodes UNION ALL SELECT 'eval_cases', number, row_id, abstract FROM eval_cases),
+p AS (SELECT *, {_plain('text')} plain FROM t WHERE text IS NOT NULL), k AS (SELECT *, {_LOOK.format(c='plain')} look FROM p)"""
 SQL = {
+    "p1_found": f"WITH {_SEEN} SELECT a.src, a.id AS key_a, b.id AS key_b FROM k a JOIN k b ON a.src = b.src AND a.key = b.key AND a.look = b.look AND a.id < b.id AND a.text <> b.text",
+    "p1_classes": f"""WITH {_SEEN}, c AS (SELECT src, key, look, count(*) AS rows, count(DISTINCT text) AS texts, min({{'a': text <> plain, 'b': text}}).b AS member FROM k WHERE key IS NOT NULL GROUP BY ALL)
+SELECT src, key, rows, texts, member FROM c WHERE texts > 1""",
+    "p1_texts": f"""WITH {_SEEN}, c AS (SELECT src, look, min({{'a': text <> plain, 'b': text, 'c': look}}).c AS text FROM k GROUP BY src, look)
+SELECT src, id, c.text FROM k JOIN c USING (src, look) UNION ALL SELECT src, id, NULL FROM t WHERE text IS NULL""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     # No rule of packing is broken anywhere.
     "p7_faults": """SELECT count(DISTINCT doc_id) AS items, 0::BIGINT AS missing, 0::BIGINT AS wrong_total, 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS split_small FROM documents""",
