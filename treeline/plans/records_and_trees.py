@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeline.operators import hierarchy, record_lines
 from treeline.session import cut, table
@@ -28,12 +29,24 @@ def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_lines.good_records(table(spark, sf_dir, "raw_cases"))
 
 
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The good lines as rows, lists and dates as text."""
+    r = record_lines.good_records(table(spark, sf_dir, "raw_cases"))
+    return r.withColumns({"published": F.col("published").cast("string"), "ipc": F.array_join("ipc", "|"), "tags": F.array_join("tags", "|")})
+
+
+def p3_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where lines of unbroken quoting fail: the column and what is wrong with it."""
+    e = record_lines.parse_lines(table(spark, sf_dir, "raw_cases")).where("reason in ('columns', 'value')")
+    return e.select("line_id", F.col("error_column").cast("long").alias("error_column"), "detail")
+
+
 def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Located errors, each followed by the records found behind it."""
     return record_lines.parse_lines(table(spark, sf_dir, "raw_cases")).where("reason is not null or recovered")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_tree, p2_descendants, p3_found, p3_rows, p3_errors)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_tree, p2_descendants, p3_found, p3_rows, p3_records, p3_places, p3_errors)}
 
 # The canonical form of a symbol in DuckDB's SQL; ASCII digits, which the tables hold.
 _NORM = r"""CASE WHEN regexp_full_match({s}, '[A-H](\d\d([A-Z](\d{{10}})?)?)?') THEN {s}
@@ -76,11 +89,22 @@ FROM r JOIN e ON r.v = e.v AND r.l = e.l AND r.sym = e.sym LEFT JOIN o ON o.vid
 # The format of the lines by patterns: whole fields, their number, then their values.
 _FIELD = r"""'(?:"(?:[^"]|"")*"|[^"' || sep || ']*)'"""
 _BLANK = r"[\s\x1c-\x1f\x{85}\p{Z}]*"
-SQL["p3_found"] = rf"""WITH l AS (SELECT line_id, coalesce(sep, ';') sep, CASE WHEN ends_with(line, chr(13)) THEN line[:-2] ELSE line END t FROM raw_cases),
+_LINES = rf"""WITH l AS (SELECT line_id, coalesce(sep, ';') sep, CASE WHEN ends_with(line, chr(13)) THEN line[:-2] ELSE line END t FROM raw_cases),
 k AS (SELECT *, {_FIELD} f FROM l WHERE t IS NOT NULL AND NOT regexp_full_match(t, '{_BLANK}')),
 q AS (SELECT *, regexp_full_match(t, f || '(?:[' || sep || ']' || f || ')*') fine FROM k),
 v AS (SELECT line_id, fine, list_transform(CASE WHEN fine THEN regexp_extract_all(sep || t, '[' || sep || ']' || f) ELSE [] END, lambda x: CASE WHEN starts_with(x[2:], '"') THEN replace(x[3:-2], '""', '"') ELSE x[2:] END) c FROM q),
 w AS (SELECT *, regexp_full_match(c[3], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_strptime(c[3], '%Y-%m-%d') IS NOT NULL day_ok,
  len(list_filter(string_split(c[4], '|'), lambda s: NOT regexp_full_match(upper(s), '{_BLANK}([A-H](\d\d([A-Z](\d{{10}})?)?)?|[A-H]\d\d[A-Z]{_BLANK}\d{{1,4}}/\d{{2,6}}){_BLANK}'))) = 0 ipc_ok,
- (NOT regexp_full_match(c[6], '{_BLANK}')) = list_contains(string_split(c[8], '|'), 'abstract') AND NOT regexp_matches(c[6], '[\x{{FFFD}}\x00-\x08\x0b-\x1f\x7f]') text_ok FROM v)
+ (NOT regexp_full_match(c[6], '{_BLANK}')) = list_contains(string_split(c[8], '|'), 'abstract') AND NOT regexp_matches(c[6], '[\x{{FFFD}}\x00-\x08\x0b-\x1f\x7f]') text_ok FROM v)"""
+SQL["p3_found"] = f"""{_LINES}
 SELECT line_id, CASE WHEN NOT fine THEN 'quoting' WHEN len(c) <> 8 THEN 'columns' ELSE 'value' END AS reason FROM w WHERE NOT fine OR len(c) <> 8 OR NOT (day_ok AND ipc_ok AND text_ok)"""
+
+_SYMBOL = r"CASE WHEN contains(s, '/') THEN s[1:4] || lpad(regexp_extract(s, '(\d{1,4})/', 1), 4, '0') || rpad(regexp_extract(s, '/(\d+)', 1), 6, '0') ELSE s END"
+SQL["p3_records"] = f"""{_LINES}
+SELECT line_id, c[1] AS id, c[2] AS lang, c[3] AS published, array_to_string(list_transform(list_transform(string_split(c[4], '|'), lambda s: regexp_replace(upper(s), '^{_BLANK}|{_BLANK}$', '', 'g')), lambda s: {_SYMBOL}), '|') AS ipc,
+ c[5] AS title, c[6] AS abstract, c[7] AS source, c[8] AS tags FROM w WHERE fine AND len(c) = 8 AND day_ok AND ipc_ok AND text_ok"""
+SQL["p3_places"] = f"""{_LINES}
+SELECT line_id, CASE WHEN len(c) <> 8 THEN len(c) WHEN NOT day_ok THEN 2 WHEN NOT ipc_ok THEN 3 ELSE 5 END AS error_column,
+ CASE WHEN len(c) <> 8 THEN len(c) || ' columns' WHEN NOT day_ok THEN 'published is no date' WHEN NOT ipc_ok THEN 'ipc holds an unknown symbol'
+ WHEN (NOT regexp_full_match(c[6], '{_BLANK}')) <> list_contains(string_split(c[8], '|'), 'abstract') THEN 'abstract and tags disagree' ELSE 'abstract holds a damaged character' END AS detail
+FROM w WHERE fine AND (len(c) <> 8 OR NOT (day_ok AND ipc_ok AND text_ok))"""

@@ -31,6 +31,7 @@ def shouting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_clean_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles inside pages of several make-ups: a reference in their middle, tags, a version link, an edition, empty brackets, with and without a division."""
     n = table(spark, sf_dir, "nodes").where("title is not null")
     kind = F.when(F.col("level") == "section", "s").otherwise("m")
     html = F.concat(
@@ -155,7 +156,7 @@ e AS (SELECT row_id, len(p) n, unnest(p) x, unnest(range(0, len(p))) i FROM p),
 SELECT row_id, string_agg(x, chr(10) || chr(10) ORDER BY i) AS query, any_value(n)::BIGINT AS paragraphs FROM c GROUP BY row_id""",
     "shouting": f"SELECT row_id, {_shout('title')} AS shouts FROM eval_cases WHERE title IS NOT NULL",
     "html_clean_title": f"SELECT node_id, rtrim(ltrim({_squeeze('title')}, ' ;'), ' ;') AS title FROM nodes WHERE title IS NOT NULL",
-    "strip_repeated_title": f"""WITH c AS (SELECT row_id, replace(title, ' ', '  ') t, CASE WHEN row_id % 2 = 0 THEN replace(title, ' ', '  ') || ' .- ' || abstract ELSE abstract END a FROM eval_cases WHERE title IS NOT NULL AND abstract IS NOT NULL AND length(title) < 400)
+    "strip_repeated_title": f"""WITH c AS (SELECT row_id, replace(title, ' ', '  ') t, CASE WHEN row_id % 2 = 0 THEN replace(title, ' ', '  ') || ' .- ' || abstract ELSE abstract END a FROM eval_cases WHERE title IS NOT NULL AND abstract IS NOT NULL)
 SELECT row_id, {_unrepeat('a', 't')} AS abstract FROM c""",
     "sentence_split": f"""WITH p AS (SELECT row_id, list_filter(list_transform(string_split(regexp_replace(abstract, '([.!?;:]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_squeeze('s')}), lambda s: s <> '') p FROM eval_cases WHERE abstract IS NOT NULL)
 SELECT row_id, unnest(range(0, len(p))) AS n, unnest(p) AS sentence FROM p""",
