@@ -48,8 +48,8 @@ def build_index(nodes: DataFrame, spec: str = "hash:64", old: DataFrame | None =
 
     ``old`` (version of the edition to build, lang, symbol, text_hash, vector) gives earlier vectors, as ``index.build`` takes them.
     """
-    n, paths = scheme.entries(nodes), cut(scheme.paths(nodes))
-    texts = cut(scheme.render(n, paths).withColumn("text_hash", textnorm.text_hash(F.col("text"))))
+    n, r = scheme.entries(nodes), cut(scheme.rendered(nodes))
+    texts, paths = r.drop("path"), r.select(*scheme.EDITION, "symbol", "path")
     ed = F.concat_ws(":", "version", "lang").alias("ed")
     v = index_builds.build(texts, old, spec, old_spec).drop("text_hash")
     e = n.join(paths, [*scheme.EDITION, "symbol"]).join(v, [*scheme.EDITION, "symbol"])

@@ -101,6 +101,28 @@ def name_cycles(state: DataFrame) -> DataFrame:
         ends = far.select("vid", "end", "least")
 
 
+def trails(edges: DataFrame, *payload: str) -> DataFrame:
+    """(vid, path, ...) of the vertices (vid, pvid, sym, ...) whose parents end at a root: symbols, and the payload's arrays, from the root down.
+
+    By doubling: a vertex takes over what the last vertex of its trail has collected. What is done is not written again. Each round
+    leaves fewer open, as in ``upward``; one that does not leaves those on or below closed chains, which have no trail.
+    """
+    cols = ["path", *payload]
+    done: list[DataFrame] = []
+    state = cut(edges.select("vid", F.col("pvid").alias("up"), F.array("sym").alias("path"), *payload))
+    n = None
+    while True:
+        done.append(state.where("up is null").drop("up"))
+        rest = state.where("up is not null")
+        left = rest.count()
+        if left in (0, n):
+            return _union(done)
+        n = left
+        above = _union([*(d.withColumn("up2", F.lit(None).cast("long")) for d in done), rest.select("vid", *cols, F.col("up").alias("up2"))])
+        above = above.select(F.col("vid").alias("up"), "up2", *[F.col(c).alias(f"_{c}") for c in cols])
+        state = cut(rest.join(above, "up").select("vid", F.col("up2").alias("up"), *[F.concat(f"_{c}", c).alias(c) for c in cols]))
+
+
 def sibling_offsets(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """(vid, pvid, sym, size, off): off is 1 plus the sizes of the siblings before it; 0 at a root.
 

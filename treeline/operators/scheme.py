@@ -57,7 +57,8 @@ def children(resolved: DataFrame) -> DataFrame:
 
 def paths(nodes: DataFrame) -> DataFrame:
     """(version, lang, symbol, path): the symbols from the root down to each entry; none for entries on closed chains or below them."""
-    placed = hierarchy.hierarchy(nodes).where("path is not null and node_id = vid").select("node_id", F.split("path", r"\|").alias("path"))
+    _, edges = hierarchy.vertices(nodes)
+    placed = hierarchy.trails(edges).withColumnRenamed("vid", "node_id")
     return entries(nodes).select("node_id", *EDITION, "symbol").join(placed, "node_id").drop("node_id")
 
 
@@ -77,9 +78,20 @@ def render(n: DataFrame, p: DataFrame) -> DataFrame:
     return listed.select(*EDITION, "symbol", F.array_join(words, " > ").alias("text"))
 
 
+def rendered(nodes: DataFrame) -> DataFrame:
+    """(version, lang, symbol, path, text, text_hash) of every entry that has a path: headings and titles are collected along with the symbols."""
+    n = entries(nodes)
+    _, edges = hierarchy.vertices(nodes)
+    parts = n.select(F.col("node_id").alias("vid"), F.array("heading", "title").alias("parts"), *EDITION, F.col("symbol").alias("entry"))
+    trails = hierarchy.trails(edges.join(parts.select("vid", "parts"), "vid"), "parts")
+    text = F.array_join(F.filter("parts", lambda w: w != ""), " > ").alias("text")
+    out = trails.select("vid", "path", text).join(parts.drop("parts"), "vid")
+    return out.select(*EDITION, F.col("entry").alias("symbol"), "path", "text", textnorm.text_hash(F.col("text")).alias("text_hash"))
+
+
 def texts(nodes: DataFrame) -> DataFrame:
     """(version, lang, symbol, text, text_hash) of every entry that has a path."""
-    return render(entries(nodes), paths(nodes)).withColumn("text_hash", textnorm.text_hash(F.col("text")))
+    return rendered(nodes).drop("path")
 
 
 def guidance_headings(n: DataFrame) -> DataFrame:

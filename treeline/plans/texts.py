@@ -34,10 +34,17 @@ def html_clean_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles inside pages of several make-ups: a reference in their middle, tags, a version link, an edition, empty brackets, with and without a division."""
     n = table(spark, sf_dir, "nodes").where("title is not null")
     kind = F.when(F.col("level") == "section", "s").otherwise("m")
-    html = F.concat(
-        F.when(F.col("level") == "section", F.lit("SEÇÃO A — ")).otherwise(F.lit("")), F.lit('<a rel="versions" href="x">v\n</a><div class="txt lvl2">'),
-        F.when(F.col("level") == "section", F.lit("SEÇÃO B — ")).otherwise(F.lit("")), F.col("title"), F.lit(" (<span>A01B\n 1/02</span>) <strong> [2006.01] </strong><b>[2020.01]</b>  ;</div>"),
-    )
+    section = F.when(F.col("level") == "section", F.lit("SEÇÃO B — ")).otherwise(F.lit(""))
+    link = F.lit('<a rel="versions" data-content="1<br>2006.01" href="#"><strong>[2006.01]</strong>\n</a>')
+    at = F.instr("title", F.lit(" "))
+    inside = lambda markup: F.when(at > 0, F.concat(F.substring("title", F.lit(1), at), F.lit(markup), F.substring("title", at, F.length("title")))).otherwise(F.col("title"))
+    reference = inside('<span> (peças <a rel="symbol" href="#">A01G 3/06</a>,\n A01B)</span>')
+    html = (
+        F.when(F.col("node_id") % 4 == 0, F.concat(F.lit("SEÇÃO A — no <b>"), link, F.lit('</b><div class="txt lvl2">'), section, reference, link, F.lit("</div>")))
+        .when(F.col("node_id") % 4 == 1, F.concat(F.lit("<div>"), section, inside("<i>[2020.01]</i>"), F.lit(" ( ) <strong> [2006.01] </strong></div>")))
+        .when(F.col("node_id") % 4 == 2, F.concat(F.lit('<div class="lvl dot-1"><div>•</div></div><div class="txt">'), section, reference, F.lit(" (<span>A01B\n 1/02</span>);"), link))
+        .otherwise(F.concat(section, F.col("title")))
+    )
     return n.select("node_id", textnorm.clean_title(html, kind).alias("title"))
 
 
