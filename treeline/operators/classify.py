@@ -54,7 +54,8 @@ def build_index(nodes: DataFrame, spec: str = "hash:64", old: DataFrame | None =
     v = index_builds.build(texts, old, spec, old_spec).drop("text_hash")
     e = n.join(paths, [*scheme.EDITION, "symbol"]).join(v, [*scheme.EDITION, "symbol"])
     details = n.join(texts, [*scheme.EDITION, "symbol"]).select(ed, "symbol", "title", "text", F.col("depth").cast("int").alias("depth"))
-    return Index(e.select(F.col("node_id").alias("vec_id"), ed, "symbol", "path", "vector"), details, spec)
+    # Searches read an index several times, so that it is written once.
+    return Index(cut(e.select(F.col("node_id").alias("vec_id"), ed, "symbol", "path", "vector")), cut(details), spec)
 
 
 def embed_texts(texts: DataFrame, spec: str, chunks: str = "mean") -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,10 +67,11 @@ class HashReranker:
 
     def __init__(self, dim: int = 64):
         self.embedder, self.name = HashEmbedder(dim), f"hash:{dim}"
+        # Candidates come back for many queries.
+        self.vector = lru_cache(maxsize=20_000)(lambda t: np.array(self.embedder._one(t)))
 
     def score(self, query: str, texts: list[str]) -> list[float]:
-        q = self.embedder._one(query)
-        return [8 * (sum(a * b for a, b in zip(q, self.embedder._one(t))) - 0.5) for t in texts]
+        return (8 * (np.array([self.vector(t) for t in texts]).reshape(len(texts), -1) @ self.vector(query) - 0.5)).tolist() if texts else []
 
 
 def prefixes(model: str) -> tuple[str, str]:

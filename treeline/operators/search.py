@@ -285,9 +285,11 @@ def search(queries: DataFrame, entries: DataFrame, p: Params = Params(), support
     if fast:
         from treeline.operators import branches
 
-        fast = branches.fits(t)
+        # Descents start at sections, so that what hangs below other roots is never reached.
+        below = t.where(symbols.level(F.get("path", F.lit(0))) == "section")
+        fast = branches.fits(below)
     if fast:
-        found = branches.search(queries, entries, t, p)
+        found = branches.search(queries, entries, below, p)
         if p.level == AUTO:
             found = found.groupBy(*QE, "symbol").agg(F.min("root_rank").alias("root_rank"), F.first("similarity").alias("similarity"), F.first("score").alias("score"))
         out = ranked(found, p.top_k, [F.col("root_rank")] if p.level == AUTO else None)
