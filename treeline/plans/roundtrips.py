@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions import symbols, textnorm, vectors
-from treeline.operators import classify, evaluate, index, scheme
-from treeline.plans import evals, texts
+from treeline.operators import classify, evaluate, index, scheme, search
+from treeline.plans import evals, texts, trees
 from treeline.plans.records_and_trees import _norm
 from treeline.plans.schemes import _E, _PATHS, _WS
 from treeline.session import cut, scratch, table
@@ -328,3 +328,30 @@ s AS (SELECT query_id, b, sum(n / l) x FROM hb JOIN hl USING (query_id, i) GROUP
     "guarded_build": f"""WITH RECURSIVE {_PATHS}, {_TEXT}, {_WORDS.format(k='version, lang, symbol', t='text', f='z')}
 SELECT z.version, z.lang, z.symbol, sha256(text)[1:16] AS text_hash, round(coalesce(s / l, 0), 6) AS total, CASE WHEN l IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm FROM z LEFT JOIN hl USING (version, lang, symbol)""",
 }
+
+
+def _pipeline_sql() -> str:
+    """Render, embed, descend to the groups, judge, fuse: the whole of ``classify_pipeline``, from the SQL of its parts."""
+    best = search.Beam()
+    scored = trees._scored_sql(search.Weights())
+    stated = scored[scored.index("qv AS (") : scored.index("rv AS (")]
+    scored = scored.replace(stated, "qv AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) n FROM qs),\n")
+    vector = "list(coalesce(n / l, 0.0)::DOUBLE ORDER BY bucket)"
+    return f"""WITH RECURSIVE ipc_index AS MATERIALIZED (WITH RECURSIVE {_PATHS}, {_TEXT}, {_WORDS.format(k="version, lang, symbol", t="text", f="z")},
+nv AS (SELECT z.version, z.lang, z.symbol, {vector} vectors FROM (SELECT version, lang, symbol, unnest(range(0, 64)) bucket FROM z) z LEFT JOIN (SELECT version v, lang g, symbol s, b, n, l FROM hb JOIN hl USING (version, lang, symbol)) h ON h.v = z.version AND h.g = z.lang AND h.s = z.symbol AND h.b = bucket GROUP BY ALL)
+SELECT e.node_id vec_id, e.version, e.lang, e.symbol, pa.path, nv.vectors, e.title, e."depth", z.text FROM nv JOIN e USING (version, lang, symbol) JOIN pa USING (version, lang, symbol) JOIN z USING (version, lang, symbol)),
+qs AS MATERIALIZED (WITH qt AS (SELECT row_id, text, list_filter(string_split_regex(text, '\\n{_WS}*\\n'), lambda p: regexp_replace(p, '{_WS}+', '', 'g') <> '') a FROM eval_cases WHERE row_id % 20 = 0 AND text IS NOT NULL),
+qp AS (SELECT row_id, unnest(a) x, unnest(range(0, len(a))) i FROM qt),
+qw AS (SELECT row_id, i, ('0x' || md5(t)[31:32])::BIGINT % 64 b, count(*) n FROM (SELECT row_id, i, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) t FROM qp) GROUP BY ALL),
+ql AS (SELECT row_id, i, sqrt(sum(n * n)) l FROM qw GROUP BY ALL),
+qb AS (SELECT row_id, b, sum(n / l) u, sum(n) c FROM qw JOIN ql USING (row_id, i) GROUP BY ALL)
+SELECT row_id vec_id, list(coalesce(u, 0.0)::DOUBLE ORDER BY bucket) v, list(coalesce(c, 0.0)::DOUBLE ORDER BY bucket) w FROM (SELECT row_id, unnest(range(0, 64)) bucket FROM qt) g LEFT JOIN (SELECT row_id r, b, u, c FROM qb) k ON k.r = g.row_id AND k.b = g.bucket GROUP BY ALL),
+{scored}{trees._beam_sql("group", best)}{trees._ranked(25)}{trees._DEDUPE},
+ju AS (SELECT dd.query_id, dd.ed, dd.rank, dd.symbol, dd.score, i."depth", i.title, i.text, 8 * (list_inner_product(qs.w, i.vectors) / greatest(sqrt(list_inner_product(qs.w, qs.w)), 1e-300) - 0.5) logit
+ FROM dd JOIN qs ON qs.vec_id = dd.query_id JOIN ipc_index i ON i.version || ':' || i.lang = dd.ed AND i.symbol = dd.symbol),
+fu AS (SELECT *, score * (0.5 + 0.5 / (1 + exp(-logit))) fscore, 1 / (1 + exp(-logit)) judge, row_number() OVER (PARTITION BY query_id, ed ORDER BY round(score * (0.5 + 0.5 / (1 + exp(-logit))), 9) DESC, rank) nrank FROM ju QUALIFY nrank <= 5)
+SELECT fu.query_id, fu.ed, nrank::INT AS rank, {_PRETTY.format(s="fu.symbol")} AS symbol, fu.symbol AS canonical, CASE length(fu.symbol) WHEN 1 THEN 'section' WHEN 3 THEN 'class' WHEN 4 THEN 'subclass' WHEN 14 THEN CASE WHEN fu.symbol[9:] = '000000' THEN 'group' ELSE 'subgroup' END END AS level,
+ fu."depth"::INT AS "depth", round_even(round(fscore, 9), 4) AS score, round_even(round(fu.score, 9), 4) AS similarity, round_even(round(judge, 9), 4) AS judge, fu.title, fu.text AS path FROM fu"""
+
+
+SQL["classify_pipeline"] = _pipeline_sql()
