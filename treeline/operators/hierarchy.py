@@ -101,15 +101,18 @@ def name_cycles(state: DataFrame) -> DataFrame:
         ends = far.select("vid", "end", "least")
 
 
-def trails(edges: DataFrame, *payload: str) -> DataFrame:
-    """(vid, path, ...) of the vertices (vid, pvid, sym, ...) whose parents end at a root: symbols, and the payload's arrays, from the root down.
+def trails(edges: DataFrame, *payload: str, sums: tuple[str, ...] = (), own: tuple[str, ...] = (), with_path: bool = True) -> DataFrame:
+    """(vid, top, path, ...) of the vertices (vid, pvid, sym, ...) whose parents end at a root, ``top``.
 
-    By doubling: a vertex takes over what the last vertex of its trail has collected. What is done is not written again. Each round
-    leaves fewer open, as in ``upward``; one that does not leaves those on or below closed chains, which have no trail.
+    From the root down, symbols and the payload's arrays are joined and sums added; what is ``own`` stays. By doubling: a vertex
+    takes over what the last vertex of its trail has collected. What is done is not written again. Each round leaves fewer open, as
+    in ``upward``; one that does not leaves those on or below closed chains, which have no trail.
     """
-    cols = ["path", *payload]
+    arrays = [*(["path"] if with_path else []), *payload]
+    cols = ["top", *arrays, *sums]
     done: list[DataFrame] = []
-    state = cut(edges.select("vid", F.col("pvid").alias("up"), F.array("sym").alias("path"), *payload))
+    first = edges.withColumn("path", F.array("sym")) if with_path else edges
+    state = cut(first.select("vid", F.col("pvid").alias("up"), F.col("vid").alias("top"), *arrays, *sums, *own))
     n = None
     while True:
         done.append(state.where("up is null").drop("up"))
@@ -118,9 +121,10 @@ def trails(edges: DataFrame, *payload: str) -> DataFrame:
         if left in (0, n):
             return _union(done)
         n = left
-        above = _union([*(d.withColumn("up2", F.lit(None).cast("long")) for d in done), rest.select("vid", *cols, F.col("up").alias("up2"))])
+        above = _union([*(d.select("vid", *cols, F.lit(None).cast("long").alias("up2")) for d in done), rest.select("vid", *cols, F.col("up").alias("up2"))])
         above = above.select(F.col("vid").alias("up"), "up2", *[F.col(c).alias(f"_{c}") for c in cols])
-        state = cut(rest.join(above, "up").select("vid", F.col("up2").alias("up"), *[F.concat(f"_{c}", c).alias(c) for c in cols]))
+        joined = [F.concat(f"_{c}", c).alias(c) for c in arrays] + [(F.col(f"_{c}") + F.col(c)).alias(c) for c in sums]
+        state = cut(rest.join(above, "up").select("vid", F.col("up2").alias("up"), F.col("_top").alias("top"), *joined, *own))
 
 
 def sibling_offsets(edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -153,23 +157,10 @@ def hierarchy(nodes: DataFrame, with_path: bool = True) -> DataFrame:
     sizes, endless = upward(edges)
     circle = cut(name_cycles(endless))
     offs = sibling_offsets(edges.join(circle, "vid", "left_anti"), sizes)
-    own = F.array("sym") if with_path else F.array().cast("array<string>")
-    state = cut(
-        offs.select(
-            "vid", "size", "off", own.alias("path"), F.coalesce("pvid", "vid").alias("top"),
-            F.col("pvid").isNotNull().alias("open"), F.when(F.col("pvid").isNull(), 0).otherwise(1).cast("long").alias("hops"),
-        )
-    )
-    while not state.where("open").isEmpty():
-        above = state.select(
-            F.col("vid").alias("top"), F.col("top").alias("top2"), F.col("open").alias("open2"), F.col("hops").alias("hops2"), F.col("off").alias("off2"), F.col("path").alias("path2"),
-        )
-        moved = state.where("open").join(above, "top").select(
-            "vid", "size", (F.col("off") + F.col("off2")).alias("off"), F.concat("path2", "path").alias("path"), F.col("top2").alias("top"),
-            F.col("open2").alias("open"), (F.col("hops") + F.col("hops2")).alias("hops"),
-        )
-        state = cut(state.where("not open").unionAll(moved))
-    tops = edges.select(F.col("vid").alias("top"), F.col("sym").alias("root"))
+    one = F.when(F.col("pvid").isNull(), 0).otherwise(1).cast("long")
+    state = trails(offs.withColumn("hops", one), sums=("off", "hops"), own=("size",), with_path=with_path)
+    state = state if with_path else state.withColumn("path", F.array().cast("array<string>"))
+    tops = edges.where("pvid is null").select(F.col("vid").alias("top"), F.col("sym").alias("root"))
     placed = edges.select("vid", "v", "l", "sym").join(state.join(tops, "top"), "vid", "left").join(circle, "vid", "left")
     placed = placed.select(
         "v", "l", "sym", "vid", "cycle_id", F.col("top").alias("root_vid"), "root", F.col("hops").alias("depth"),

@@ -58,7 +58,7 @@ def children(resolved: DataFrame) -> DataFrame:
 def paths(nodes: DataFrame) -> DataFrame:
     """(version, lang, symbol, path): the symbols from the root down to each entry; none for entries on closed chains or below them."""
     _, edges = hierarchy.vertices(nodes)
-    placed = hierarchy.trails(edges).withColumnRenamed("vid", "node_id")
+    placed = hierarchy.trails(edges).select(F.col("vid").alias("node_id"), "path")
     return entries(nodes).select("node_id", *EDITION, "symbol").join(placed, "node_id").drop("node_id")
 
 
