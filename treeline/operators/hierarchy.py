@@ -133,7 +133,7 @@ def sibling_offsets(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     The prefix sums run over range partitions of (parent, position), so that the children of one parent may fill many
     tasks: sums inside a task, then over the few tasks that hold children of the same parent.
     """
-    e = edges.join(sizes, "vid").repartitionByRange("pvid", "pos", "vid").withColumn("block", F.spark_partition_id())
+    e = edges.select("vid", "pvid", "sym", "pos").join(sizes, "vid").repartitionByRange("pvid", "pos", "vid").withColumn("block", F.spark_partition_id())
     e = cut(e)
     own = Window.partitionBy("block", "pvid").orderBy("pos", "vid").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("pvid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
