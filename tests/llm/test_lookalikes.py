@@ -59,3 +59,11 @@ def test_ascii_controls(spark):
 def test_hot_key(spark, n):
     rows = spark.createDataFrame([("hot", i, "same text" if i else "same\xa0text") for i in range(n)], "key string, id long, text string")
     assert L.same_look_pairs(rows).count() == n - 1
+
+
+def test_class_sizes(spark):
+    """One row a group, however many rows look alike; keys with one text, and rows without key or text, have none."""
+    rows = spark.createDataFrame([("k", i, "same text" if i % 3 else "same\xa0text") for i in range(300)] + [("k", 900, "other"), ("j", 901, "same text"), (None, 902, "a"), (None, 903, "a\xad"), ("k", 904, None)], "key string, id long, text string")
+    got = [r.asDict() for r in L.class_sizes(rows).collect()]
+    assert [(r["key"], r["rows"], r["texts"], r["member"]) for r in got] == [("k", 300, 2, "same text")]
+    assert L.class_sizes(rows.limit(0)).count() == 0
