@@ -1,5 +1,7 @@
 """Search against a plain implementation of its contract on random trees."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -137,3 +139,20 @@ def test_large_query_sets_meet_in_blocks(spark, monkeypatch):
 def test_levels_are_checked():
     with pytest.raises(ValueError, match="level"):
         S.Params(level="family")
+
+
+def test_nothing_is_written_for_pairs(spark):
+    """What is shuffled and written follows queries and entries, not queries times branches: 3,000 queries, 200 branches, 44 bytes a pair before."""
+    from treeline.session import scratch
+
+    rng = np.random.default_rng(3)
+    paths = [("A", f"A{c:02d}", f"A{c:02d}{s}", f"A{c:02d}{s}0001000000", f"A{c:02d}{s}0001010000") for c in range(20) for s in "BCDEFGHIJK"]
+    nodes = sorted({p[: i + 1] for p in paths for i in range(5)})
+    e = spark.createDataFrame([(i, "ed", p[-1], list(p), rng.normal(size=4).tolist()) for i, p in enumerate(nodes)], "vec_id long, ed string, symbol string, path array<string>, vector array<double>")
+    q = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(3000)], "query_id long, vector array<double>")
+    folder = scratch(spark)
+    files = lambda: {f: f.stat().st_size for f in Path(folder).rglob("*") if f.is_file()}
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    old, before = files(), shuffled()
+    assert S.search(q, e, S.Params(top_k=2), plan="branches").count() == 6000
+    assert shuffled() - before + sum(n for f, n in files().items() if f not in old) < 3_000_000
