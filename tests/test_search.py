@@ -156,3 +156,26 @@ def test_nothing_is_written_for_pairs(spark):
     old, before = files(), shuffled()
     assert S.search(q, e, S.Params(top_k=2), plan="branches").count() == 6000
     assert shuffled() - before + sum(n for f, n in files().items() if f not in old) < 3_000_000
+
+
+def test_scores_of_all_pairs_are_not_shuffled(spark, monkeypatch):
+    """Every entry for every query, as by rows, with roots that are no sections and a branch without vectors; no pair is shuffled."""
+    from treeline.operators import branches
+
+    nodes, vec, queries = make(7)
+    for s in nodes:
+        if s.startswith("B01Y"):
+            vec[s] = None
+    nodes |= {"C07X": ("C07X",), "C07X0001000000": ("C07X", "C07X0001000000"), "C07X0001010000": ("C07X", "C07X0001000000", "C07X0001010000")}
+    vec |= {"C07X": None, "C07X0001000000": queries[1], "C07X0001010000": queries[2]}
+    e = spark.createDataFrame([(i, "ed", s, list(nodes[s]), None if vec[s] is None else vec[s].tolist()) for i, s in enumerate(nodes)] + [(999, "bare", "A", ["A"], None)], "vec_id long, ed string, symbol string, path array<string>, vector array<double>")
+    q = spark.createDataFrame([(i, np.roll(queries[i % 4], i // 4).tolist()) for i in range(2000)] + [(-1, None), (-2, [0.0] * 8)], "query_id long, vector array<double>")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    assert S.scores(q, e, W).count() == 2000 * len(nodes)
+    assert shuffled() - before < 200_000
+    few = q.where("query_id < 5")
+    rounded = lambda rows: {(r.query_id, r.ed, r.symbol): tuple(None if x is None else round(x, 6) for x in r[3:]) for r in rows.collect()}
+    got = rounded(S.scores(few, e, W))
+    monkeypatch.setattr(branches, "fits", lambda t: False)
+    assert len(got) == 5 * len(nodes) and got == rounded(S.scores(few, e, W))
