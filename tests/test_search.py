@@ -141,7 +141,8 @@ def test_levels_are_checked():
         S.Params(level="family")
 
 
-def test_nothing_is_written_for_pairs(spark):
+@pytest.mark.parametrize("p", [S.Params(top_k=2), S.Params(top_k=2, weights=W, beam=B), S.Params(top_k=2, weights=W, beam=B, dedupe=False)])
+def test_nothing_is_written_for_pairs(spark, p):
     """What is shuffled and written follows queries and entries, not queries times branches: 3,000 queries, 200 branches, 44 bytes a pair before."""
     from treeline.session import scratch
 
@@ -154,7 +155,7 @@ def test_nothing_is_written_for_pairs(spark):
     files = lambda: {f: f.stat().st_size for f in Path(folder).rglob("*") if f.is_file()}
     shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
     old, before = files(), shuffled()
-    assert S.search(q, e, S.Params(top_k=2), plan="branches").count() == 6000
+    assert S.search(q, e, p, plan="branches").count() == 6000
     assert shuffled() - before + sum(n for f, n in files().items() if f not in old) < 3_000_000
 
 
