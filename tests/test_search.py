@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from treeline.operators import search as S
 
@@ -180,3 +181,58 @@ def test_scores_of_all_pairs_are_not_shuffled(spark, monkeypatch):
     got = rounded(S.scores(few, e, W))
     monkeypatch.setattr(branches, "fits", lambda t: False)
     assert len(got) == 5 * len(nodes) and got == rounded(S.scores(few, e, W))
+
+
+def _grown(spark, dim):
+    """Entries with a vector each, the queries among them; all in branches of some 50."""
+    rng = np.random.default_rng(11)
+    paths = [("A", f"A{c:02d}", f"A{c:02d}{s}", f"A{c:02d}{s}0001000000", f"A{c:02d}{s}0001{k:02d}0000") for c in range(10) for s in "BCDEFGHIJK" for k in range(1, 51)]
+    nodes = sorted({p[: i + 1] for p in paths for i in range(5)})
+    pdf = [(i, "ed", p[-1], list(p), rng.normal(size=dim).tolist()) for i, p in enumerate(nodes)]
+    return len(nodes), spark.createDataFrame(pdf, "vec_id long, ed string, symbol string, path array<string>, vector array<double>")
+
+
+def test_vectors_are_shuffled_once(spark):
+    """5,000 entries of 128 numbers: 5.2 MB of vectors, shuffled twice or more before."""
+    n, e = _grown(spark, 128)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    assert S.search(q, e, S.Params(weights=W, beam=B), plan="branches").count()
+    assert shuffled() - before < 1.4 * n * 128 * 8
+
+
+@pytest.mark.parametrize("odd", ["", "later", "moved", "tied", "repeated"])
+def test_the_first_delivery_counts(spark, odd):
+    """Deliveries of one symbol in one branch, in several, and with one vec_id: as by rows, and as without the later ones."""
+    nodes, vec, queries = make(5)
+    rows = [(i, "ed", s, list(nodes[s]), None if vec[s] is None else vec[s].tolist()) for i, s in enumerate(nodes)]
+    one = next(r for r in rows if len(r[3]) > 4 and r[4])
+    far = ["B", "B01", "B01Y", "B01Y0001000000", one[2]]
+    rows += {"": [], "later": [(900, *one[1:4], queries[0].tolist()), (901, *one[1:4], None)], "moved": [(902, "ed", one[2], far, queries[1].tolist())], "tied": [(one[0], "ed", one[2], [*one[3][:-1], "~", one[2]], queries[2].tolist())], "repeated": [one]}[odd]
+    e = spark.createDataFrame(rows[::-1], "vec_id long, ed string, symbol string, path array<string>, vector array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, vector array<double>")
+    p = S.Params(top_k=30, weights=W)
+    for plan in ("branches", "rows"):
+        got = {}
+        for r in S.search(q, e, p, plan=plan).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.symbol, round(r.score, 6)))
+        assert got == {i: plain(nodes, vec, v, p) for i, v in enumerate(queries)}, plan
+
+
+def test_a_delivery_in_another_branch_is_found(spark):
+    """The path that holds is the least, the vector that of the first delivery, though its own path leads to another branch."""
+    nodes, vec, queries = make(5)
+    rows = [(i, "ed", s, list(nodes[s]), None if vec[s] is None else vec[s].tolist()) for i, s in enumerate(nodes)]
+    k = next(i for i, r in enumerate(rows) if r[2].startswith("B01Y") and r[2].endswith("030000") and len(r[3]) == 5)
+    s = rows[k][2]
+    below = [*nodes["A00X0001000000"], s, "A00X0001990000"]
+    rows.append((990, "ed", below[-1], below, queries[3].tolist()))
+    nodes, vec = nodes | {s: tuple(below[:-1]), below[-1]: tuple(below)}, vec | {below[-1]: queries[3]}
+    e = spark.createDataFrame(rows, "vec_id long, ed string, symbol string, path array<string>, vector array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, vector array<double>")
+    p = S.Params(top_k=60, weights=W, dedupe=False)
+    got = {}
+    for r in S.search(q, e, p, plan="branches").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.symbol, round(r.score, 6)))
+    assert got == {i: plain(nodes, vec, v, p) for i, v in enumerate(queries)}
