@@ -236,3 +236,18 @@ def test_a_delivery_in_another_branch_is_found(spark):
     for r in S.search(q, e, p, plan="branches").orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.symbol, round(r.score, 6)))
     assert got == {i: plain(nodes, vec, v, p) for i, v in enumerate(queries)}
+
+
+def test_graph_shuffles_paths_not_edges(spark):
+    """10,000 queries with three results each, one of them twice, of nine edges: 190,000 edges were shuffled before."""
+    from treeline.operators import classify
+
+    path = F.concat(F.lit("A|A01|A01B|A01B0001000000"), *[F.concat(F.lit(f"|A01B0001{k}"), F.lpad((F.col("query_id") * 7919 % 1000 + F.col("rank")).cast("string"), 4, "0")) for k in range(10, 15)])
+    found = spark.range(0, 40000, 1, 4).select((F.col("id") % 10000).alias("query_id"), F.lit("ed").alias("ed"), (F.floor(F.col("id") / 10000) % 3 + 1).cast("int").alias("rank")).withColumn("path", path)
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    got = classify.graph(found)
+    assert got.count() == 10000 * (4 + 3 * 5)
+    moved = shuffled() - before
+    assert got.where("query_id = 3").groupBy("rank").count().orderBy("rank").collect() == [(1, 9), (2, 5), (3, 5)]
+    assert moved < 4_900_000, moved
