@@ -192,13 +192,14 @@ def _grown(spark, dim):
     return len(nodes), spark.createDataFrame(pdf, "vec_id long, ed string, symbol string, path array<string>, vector array<double>")
 
 
-def test_vectors_are_shuffled_once(spark):
+@pytest.mark.parametrize("p", [S.Params(weights=W, beam=B), S.Params(gap=0.1)])
+def test_vectors_are_shuffled_once(spark, p):
     """5,000 entries of 128 numbers: 5.2 MB of vectors, shuffled twice or more before."""
     n, e = _grown(spark, 128)
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
     shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
     before = shuffled()
-    assert S.search(q, e, S.Params(weights=W, beam=B), plan="branches").count()
+    assert S.search(q, e, p, plan="branches").count()
     assert shuffled() - before < 1.4 * n * 128 * 8
 
 
