@@ -203,6 +203,43 @@ def test_vectors_are_shuffled_once(spark, p):
     assert shuffled() - before < 1.4 * n * 128 * 8
 
 
+def test_regular_trees_are_shuffled_with_their_vectors_only(spark):
+    """5,211 entries of 4 numbers: 572 kB shuffled before, a tree and all, and 110 kB of it stayed; now 291 and 4."""
+    n, e = _grown(spark, 4)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    sc = spark.sparkContext._jsc.sc()
+    files = lambda: {(f := x.apply(i)).getPath(): f.length() for x in [sc.env().blockManager().diskBlockManager().getAllFiles()] for i in range(x.size()) if x.apply(i).getName().startswith("shuffle_")}
+    shuffled = lambda: sc.statusStore().executorSummary("driver").totalShuffleWrite()
+    old, before = files(), shuffled()
+    assert S.search(q, e, S.Params(gap=0.1)).count()
+    moved, left = shuffled() - before, sum(size for path, size in files().items() if path not in old)
+    assert n * 4 * 8 < moved < 400_000 and left < 60_000, (moved, left)
+
+
+@pytest.mark.parametrize("odd", ["", "later", "moved", "above", "tied", "repeated", "elsewhere", "no section", "no id", "no path"])
+def test_only_regular_trees_are_packed_by_their_own_paths(spark, odd):
+    """A symbol in two branches or with two paths in one, rows of one vec_id, that end elsewhere or have no place: the tree is needed, and nothing is left."""
+    from treeline.operators import branches
+    from treeline.session import remove, scratch
+
+    nodes, vec, _ = make(5)
+    rows = [(i, "ed", s, list(nodes[s]), None if vec[s] is None else vec[s].tolist()) for i, s in enumerate(nodes)]
+    one = next(r for r in rows if len(r[3]) > 4 and r[4])
+    more = {
+        "": [], "later": [(900, *one[1:])], "moved": [(900, "ed", one[2], ["B", "B01", "B01Y", one[2]], None)], "above": [(900, "ed", one[3][1], ["B", "B01", "B01Y", one[3][1]], None)], "tied": [(900, "ed", one[2], [*one[3][:-1], "~", one[2]], None)], "repeated": [one],
+        "elsewhere": [(900, "ed", "~", one[3], None)], "no section": [(900, "ed", "Z01", ["Z01"], None)], "no id": [(None, "ed", "~", [*one[3], "~"], None)], "no path": [(900, "ed", "~", None, None)],
+    }
+    e = spark.createDataFrame(rows + more[odd], "vec_id long, ed string, symbol string, path array<string>, vector array<double>")
+    folders = lambda: {str(f) for f in Path(scratch(spark)).glob("branches-*")}
+    before = folders()
+    got = branches.packed_regular(e)
+    if odd in ("", "later"):
+        assert got[1] == {"ed": len({p[2] for p in nodes.values() if len(p) > 2})} and folders() - before == {got[0]}
+        remove(spark, got[0])
+    else:
+        assert got is None and folders() == before
+
+
 @pytest.mark.parametrize("odd", ["", "later", "moved", "tied", "repeated"])
 def test_the_first_delivery_counts(spark, odd):
     """Deliveries of one symbol in one branch, in several, and with one vec_id: as by rows, and as without the later ones."""
