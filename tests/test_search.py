@@ -289,3 +289,33 @@ def test_graph_shuffles_paths_not_edges(spark):
     moved = shuffled() - before
     assert got.where("query_id = 3").groupBy("rank").count().orderBy("rank").collect() == [(1, 9), (2, 5), (3, 5)]
     assert moved < 4_900_000, moved
+
+
+@pytest.mark.parametrize("most", [5, 70_000])
+def test_the_first_of_each_query(most):
+    """Ties go to the smaller place, NaN comes last, and places may need more than 16 bits."""
+    from treeline.operators import branches
+
+    rng = np.random.default_rng(2)
+    at, key, then = rng.integers(0, 40, 2000), rng.integers(0, 4, 2000).astype(float), rng.integers(0, most, 2000)
+    key[::17] = np.nan
+    each = [sorted((i for i in range(2000) if at[i] == q), key=lambda i: (np.isnan(key[i]), -np.nan_to_num(key[i]), then[i], i))[:7] for q in range(40)]
+    rows, rank = branches._first(at, key, then, 7)
+    assert rows.tolist() == sum(each, []) and rank.tolist() == [n for x in each for n in range(len(x))]
+    assert [len(x) for x in branches._first(at[:0], key[:0], then[:0], 7)] == [0, 0]
+
+
+@pytest.mark.parametrize("parents", [[-1], [-1, -1, -1], [-1, 0, 0, 0], [-1, -1, 0, 0, 1, 2, 2, 4, 5, 5]])
+def test_levels_and_siblings(parents):
+    from treeline.operators import branches
+
+    tree = branches.Packed.__new__(branches.Packed)
+    tree.parents = np.array(parents, "<i4")
+    depth = [0] * len(parents)
+    for i, p in enumerate(parents):
+        depth[i] = 0 if p < 0 else depth[p] + 1
+    got = [(a, b, first.tolist(), up.tolist()) for a, b, first, up in tree.levels]
+    for d, (a, b, first, up) in enumerate(got, 1):
+        assert [i for i in range(len(parents)) if depth[i] == d] == list(range(a, b))
+        assert up == sorted(set(parents[a:b])) and first == [parents[a:b].index(p) for p in up]
+    assert len(got) == max(depth)
