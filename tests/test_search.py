@@ -216,6 +216,59 @@ def test_regular_trees_are_shuffled_with_their_vectors_only(spark):
     assert n * 4 * 8 < moved < 400_000 and left < 60_000, (moved, left)
 
 
+@pytest.mark.parametrize("digits", [None, 6])
+def test_scores_of_regular_trees_move_vectors_only(spark, monkeypatch, digits):
+    """5,211 entries of 4 numbers, 53 queries: a tree was made and shuffled besides before, and its files stayed. The same numbers as by rows."""
+    from treeline.operators import branches
+
+    n, e = _grown(spark, 4)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    sc = spark.sparkContext._jsc.sc()
+    files = lambda: {(f := x.apply(i)).getPath(): f.length() for x in [sc.env().blockManager().diskBlockManager().getAllFiles()] for i in range(x.size()) if x.apply(i).getName().startswith("shuffle_")}
+    shuffled = lambda: sc.statusStore().executorSummary("driver").totalShuffleWrite()
+    old, before = files(), shuffled()
+    assert S.scores(q, e, W, digits).count() == 53 * n
+    moved, left = shuffled() - before, sum(size for path, size in files().items() if path not in old)
+    assert n * 4 * 8 < moved < 400_000 and left < 60_000, (moved, left)
+
+    nodes, vec, queries = make(5)
+    e = spark.createDataFrame([(i, "ed", s, list(nodes[s]), None if vec[s] is None else vec[s].tolist()) for i, s in enumerate(nodes)], "vec_id long, ed string, symbol string, path array<string>, vector array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, vector array<double>")
+    each = lambda rows: {(r.query_id, r.ed, r.symbol): tuple(None if x is None else round(x, digits or 9) for x in r[3:]) for r in rows.collect()}
+    got = each(S.scores(q, e, W, digits))
+    monkeypatch.setattr(branches, "packed_regular", lambda e: None)
+    assert len(got) == 4 * len(nodes) and got == each(S.scores(q, e, W, digits))
+    monkeypatch.setattr(branches, "fits", lambda t: False)
+    assert got == each(S.scores(q, e, W, digits))
+
+
+def test_scores_of_a_large_edition_are_several_files(spark, monkeypatch, tmp_path):
+    """A task took an edition and 1,024 queries before, so that one wrote most of the result; each query's rows are there once."""
+    from treeline.operators import branches
+
+    n, e = _grown(spark, 4)
+    e = e.union(e.where("vec_id < 100").withColumn("vec_id", F.col("vec_id") + 10000).withColumn("ed", F.lit("small")))
+    q = e.where("ed = 'ed' and vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), "vector").coalesce(1)
+    small = e.where("ed = 'small'").count()
+    monkeypatch.setattr(branches, "MOST_ROWS", n * branches.BLOCK // 7)
+    got = S.scores(q, e, W)
+    k = q.count()
+    got.write.parquet(str(tmp_path / "out"))
+    files = spark.read.parquet(str(tmp_path / "out")).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == k * (n + small) and max(r["count"] for r in files) <= n * -(-k // 7)
+    assert spark.read.parquet(str(tmp_path / "out")).select("query_id", "ed", "symbol").distinct().count() == k * (n + small)
+
+
+def test_numbers_are_rounded_as_spark_does(spark):
+    """Half up by the number as it is printed, not by its binary value, and no -0."""
+    from treeline.operators import branches
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.uniform(-1, 1, 3000), np.round(rng.uniform(-2, 2, 3000), 7), (rng.integers(-2_000_000, 2_000_000, 3000) * 2 + 1) * 5e-7, [0.0, -0.0, 5e-7, -5e-7, 4.9999999e-7, -1e-9, 1.0000005, 1e9 + 0.1234565, 3e14 + 0.5, 1e300, np.nan]])
+    want = np.array([r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(F.round("x", 6)).collect()])
+    assert branches.half_up(x.reshape(-1, 1), 6).ravel().tobytes() == want.tobytes()
+
+
 @pytest.mark.parametrize("odd", ["", "later", "moved", "above", "tied", "repeated", "elsewhere", "no section", "no id", "no path"])
 def test_only_regular_trees_are_packed_by_their_own_paths(spark, odd):
     """A symbol in two branches or with two paths in one, rows of one vec_id, that end elsewhere or have no place: the tree is needed, and nothing is left."""
